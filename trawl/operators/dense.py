@@ -21,17 +21,20 @@ def dense_top_k(vectors: DataFrame, questions: Questions, k: int, query_vector)
     ``questions(col)``, or an array column). Returns query_id, rank, id,
     similarity; equal scores rank by id.
     """
-    parts = []
-    for block in questions.blocks({"vector": query_vector}, BLOCK):
-        parts.append(_scan(vectors, questions, block, k))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    schema = T.StructType(
+        [
+            T.StructField("query_id", questions.df.schema["query_id"].dataType),
+            T.StructField("id", vectors.schema["id"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    blocks = questions.blocks({"vector": query_vector}, BLOCK)
+    hits = questions.union([_scan(vectors, block, k, schema) for block in blocks], schema)
     order = [F.desc("similarity"), F.asc("id")]
     return merge_top_k(hits, k, order).select("query_id", "rank", "id", "similarity")
 
 
-def _scan(vectors, questions, block, k):
+def _scan(vectors, block, k, schema):
     query_ids = np.array(block["query_id"].to_pylist(), dtype=object)
     companies = block["company"].to_pylist()
     matrix = np.array(block["vector"].to_pylist(), dtype=np.float64).T
@@ -56,13 +59,6 @@ def _scan(vectors, questions, block, k):
             }
         )
 
-    schema = T.StructType(
-        [
-            T.StructField("query_id", questions.df.schema["query_id"].dataType),
-            T.StructField("id", vectors.schema["id"].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
     return vectors.select("id", "ticker", "embedding").mapInPandas(scan, schema)
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trawl.functions.text import informative_tokens, lexical_tokens, tokens
@@ -125,19 +126,18 @@ class LexicalIndex:
     def document_frequencies(self, questions: Questions) -> DataFrame:
         """query_id, position, term, df of every informative question token."""
         terms = questions.df.select(
-            "query_id", F.posexplode(informative_tokens("question")).alias("position", "term")
+            "query_id", F.posexplode(informative_tokens(F.col("question"))).alias("position", "term")
         )
         found = []
-        for block in questions.blocks({"terms": informative_tokens("question")}, BLOCK):
+        for block in questions.blocks({"terms": informative_tokens(F.col("question"))}, BLOCK):
             words = {t for row in block["terms"].to_pylist() for t in row}
             self._learn(words)
             found += sorted(words)
-        known = pd.DataFrame(
-            {"term": found, "df": [self._df[t] for t in found]}
-        ).drop_duplicates()
+        found = sorted(set(found))
         spark = questions.df.sparkSession
-        table = spark.createDataFrame(known, "term string, df bigint") if len(known) else (
-            spark.createDataFrame([], "term string, df bigint")
+        schema = pa.schema([("term", pa.string()), ("df", pa.int64())])
+        table = spark.createDataFrame(
+            pa.table({"term": found, "df": [self._df[t] for t in found]}, schema=schema)
         )
         return terms.join(table, "term", "left").select(
             "query_id", "position", "term", F.coalesce("df", F.lit(0)).alias("df")
@@ -162,18 +162,22 @@ class LexicalIndex:
         scores whole documents and emits its k best per question, and ties go
         to the earliest matching question token, then to document order.
         """
-        parts = []
-        for block in questions.blocks({"terms": lexical_tokens("question")}, BLOCK):
-            parts.append(self._scan(questions, block, k))
-        hits = parts[0]
-        for part in parts[1:]:
-            hits = hits.unionByName(part)
+        schema = T.StructType(
+            [
+                T.StructField("query_id", questions.df.schema["query_id"].dataType),
+                T.StructField("id", self.docs.schema["id"].dataType),
+                T.StructField("bm25_score", T.DoubleType()),
+                T.StructField("tie", T.IntegerType()),
+            ]
+        )
+        blocks = questions.blocks({"terms": lexical_tokens(F.col("question"))}, BLOCK)
+        hits = questions.union([self._scan(block, k, schema) for block in blocks], schema)
         order = [F.desc("bm25_score"), F.asc("tie"), F.asc("id")]
         return merge_top_k(hits, k, order, "bm25_rank").select(
             "query_id", "bm25_rank", "id", "bm25_score"
         )
 
-    def _scan(self, questions, block, k):
+    def _scan(self, block, k, schema):
         query_ids = np.array(block["query_id"].to_pylist(), dtype=object)
         companies = block["company"].to_pylist()
         asked = block["terms"].to_pylist()
@@ -230,14 +234,6 @@ class LexicalIndex:
                 }
             )
 
-        schema = T.StructType(
-            [
-                T.StructField("query_id", questions.df.schema["query_id"].dataType),
-                T.StructField("id", docs.schema["id"].dataType),
-                T.StructField("bm25_score", T.DoubleType()),
-                T.StructField("tie", T.IntegerType()),
-            ]
-        )
         matched = docs.select(
             "id",
             "ticker",
@@ -286,7 +282,7 @@ def search_index(spark, path: str, questions: Questions, k: int, settings) -> Da
     pre-aggregated per (question, document) before they move.
     """
     asked = questions.df.select(
-        "query_id", "company", F.posexplode(lexical_tokens("question")).alias("position", "term")
+        "query_id", "company", F.posexplode(lexical_tokens(F.col("question"))).alias("position", "term")
     ).groupBy("query_id", "company", "term").agg(
         F.count("*").alias("times"), F.min("position").alias("first")
     )

@@ -40,6 +40,8 @@ class Questions:
 
         ``extra`` names further columns to compute for the scan.
         """
+        if self.n == 0:
+            return
         wanted = self.df.select("query_id", "company", *[c.alias(n) for n, c in extra.items()])
         if self.n <= rows:
             yield wanted.toArrow()
@@ -49,6 +51,15 @@ class Questions:
         for i in range(count):
             yield wanted.filter(block == i).toArrow()
 
+    def union(self, parts: list, schema) -> DataFrame:
+        """All per-block results, or an empty table for an empty batch."""
+        if not parts:
+            return self.df.sparkSession.createDataFrame([], schema)
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole
+
     def small(self, ranked: DataFrame, per_question: int) -> DataFrame:
         """Hint a broadcast where the row bound n * per_question proves it safe;
         beyond that leave the join strategy to the optimizer."""

@@ -23,6 +23,8 @@ class Retriever(Protocol):
 class DenseRetriever:
     """Exact cosine search. ``corpus``: id, ticker, text, embedding."""
 
+    prefix_of_deeper = True
+
     def __init__(self, corpus: DataFrame, embedder):
         self.corpus = corpus
         self.embedder = embedder
@@ -60,28 +62,32 @@ class HybridRetriever:
         self.fusion, self.gated = fusion or settings.fusion, gated
 
     def retrieve(self, questions, k):
-        s = self.settings
-        depth = max(s.pool, k) if self.gated else s.pool
-        dense = self.base.retrieve(questions, depth)
+        pool = self.settings.pool
         if not self.gated:
-            lanes = join_lanes(
-                dense.filter(F.col("rank") <= s.pool), self.index.search(questions, s.pool)
-            )
-            return fuse(lanes, k, self.fusion, s.rrf_k)
+            return self._fused(questions, self.base.retrieve(questions, pool), k)
         gate = self.index.looks_lexical(questions)
-        opened = dense.join(F.broadcast(gate) if questions.n <= 1_000_000 else gate, "query_id")
-        lexical = Questions.of(
-            questions.df.join(gate.filter("opaque"), "query_id", "left_semi")
+        lexical, plain = (
+            Questions.of(questions.df.join(gate.filter(keep), "query_id", "left_semi"))
+            for keep in (F.col("opaque"), ~F.col("opaque"))
         )
-        lanes = join_lanes(
-            opened.filter(F.col("opaque") & (F.col("rank") <= s.pool)).drop("opaque"),
-            self.index.search(lexical, s.pool),
-        )
-        passed = opened.filter(~F.col("opaque") & (F.col("rank") <= k)).drop("opaque")
-        return fuse(lanes, k, self.fusion, s.rrf_k).unionByName(
+        if getattr(self.base, "prefix_of_deeper", False):
+            # one scan serves both: the best k of a deeper list are the list at k
+            deep = self.base.retrieve(questions, max(pool, k))
+            dense = deep.join(lexical.small(lexical.df.select("query_id"), 1), "query_id", "left_semi")
+            dense = dense.filter(F.col("rank") <= pool)
+            passed = deep.join(plain.small(plain.df.select("query_id"), 1), "query_id", "left_semi")
+            passed = passed.filter(F.col("rank") <= k)
+        else:
+            dense = self.base.retrieve(lexical, pool)
+            passed = self.base.retrieve(plain, k)
+        return self._fused(lexical, dense, k).unionByName(
             passed.withColumn("fusion", F.lit("dense-passthrough")), allowMissingColumns=True
         )
 
+    def _fused(self, questions, dense, k):
+        lanes = join_lanes(dense, self.index.search(questions, self.settings.pool))
+        return fuse(lanes, k, self.fusion, self.settings.rrf_k)
+
 
 class RerankRetriever:
     """Retrieve wide, then re-order by a scorer: a function of the question
@@ -134,8 +140,8 @@ def fan_out(base, questions: Questions, subs: DataFrame, k: int) -> DataFrame:
     )
     batch = Questions.of(
         numbered.select(
-            F.struct("query_id", "list_no").alias("query_id"), "question", "company"
-        ).select(F.to_json("query_id").alias("query_id"), "question", "company")
+            F.to_json(F.struct("query_id", "list_no")).alias("query_id"), "question", "company"
+        )
     )
     kind = questions.df.schema["query_id"].dataType.simpleString()
     lists = base.retrieve(batch, k).withColumn(

@@ -1,5 +1,6 @@
 """The stored collection: one Parquet dataset of chunks and their vectors."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ID_BUCKETS = 64
@@ -26,34 +27,36 @@ class Collection:
         self.spark, self.path, self.buckets = spark, path, buckets
 
     def exists(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        try:
+            self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return False
+        return True
 
     def read(self, ticker=None) -> DataFrame:
         rows = self.spark.read.parquet(self.path).drop("bucket")
         return rows.filter(F.col("ticker") == ticker.upper()) if ticker else rows
 
-    def upsert(self, chunks: DataFrame, embedder=None, prune=False) -> int:
+    def upsert(self, chunks: DataFrame, embedder=None) -> int:
         """Write chunks (id, ticker, text, ...), embedding them if asked to.
 
-        Returns the number of rows written; ids must not repeat in one call.
+        Returns the number of rows written. Ids must not repeat in one call,
+        and an id stays with its ticker, which chunk ids begin with.
         """
         if embedder:
             chunks = chunks.withColumn("embedding", embedder.documents(F.col("text")))
         bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
         rows = chunks.withColumn("bucket", bucket)
-        written = chunks.count()
-        if not written:
+        incoming = chunks.select("id").count()
+        if not incoming:
             return 0
         if self.exists():
+            # Only folders that change are read, joined and written again. There
+            # are no more rows in ``touched`` than folders in the collection.
+            touched = rows.select("ticker", "bucket").distinct()
             stored = self.spark.read.parquet(self.path)
-            if prune:
-                touched = rows.select("ticker").distinct()
-            else:
-                touched = rows.select("ticker", "bucket").distinct()
-            # only the folders that change are read, joined and written again
-            scope = stored.join(F.broadcast(touched), touched.columns, "left_semi")
-            rows = upserted(scope, rows, prune_within="ticker" if prune else None)
+            scope = stored.join(F.broadcast(touched), ["ticker", "bucket"], "left_semi")
+            rows = upserted(scope.select(*rows.columns), rows)
         salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))
         (
             rows.repartition("ticker", "bucket", salt)
@@ -62,7 +65,7 @@ class Collection:
             .partitionBy("ticker", "bucket")
             .parquet(self.path)
         )
-        return written
+        return incoming
 
     def count(self, ticker=None) -> int:
         return self.read(ticker).count()

@@ -56,10 +56,14 @@ def write_filings(filings: DataFrame, path: str) -> None:
 
 
 def read_rewrites(spark: SparkSession, path: str) -> DataFrame:
-    """A rewrite cache {model: {question: [rewrite]}} as model, question,
-    position, rewrite. A file that is no such object gives no rows; the older
+    """Rewrite cache files, each one JSON object over any number of lines."""
+    return parse_rewrites(spark.read.option("wholetext", True).text(path))
+
+
+def parse_rewrites(text: DataFrame) -> DataFrame:
+    """Caches {model: {question: [rewrite]}} in column value as model, question,
+    position, rewrite. A value that is no such object gives no rows; the older
     flat layout, which names its model under "__model__", is read as well."""
-    text = spark.read.option("wholetext", True).text(path)
     nested = F.from_json("value", "map<string,map<string,array<string>>>")
     flat = F.from_json("value", "map<string,array<string>>")
     model = F.get_json_object("value", "$.__model__")

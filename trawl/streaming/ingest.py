@@ -1,15 +1,19 @@
 """Keeping a collection current from a folder that chunk files arrive in."""
 
-from pyspark.sql import SparkSession, functions as F
-from pyspark.sql import Window
+from pyspark.sql import SparkSession, Window, functions as F
 
 from trawl.sources.collection import Collection
 from trawl.sources.readers import CHUNK_SCHEMA
 
 
-def follow_chunks(spark: SparkSession, folder: str, collection: Collection, checkpoint, embedder=None):
+def follow_chunks(
+    spark: SparkSession, folder: str, collection: Collection, checkpoint, embedder=None, **trigger
+):
     """Start a query that upserts new chunk files into the collection.
 
+    ``trigger`` is a writer trigger, such as processingTime="1 minute"; without
+    one the query stops when it has taken in what is there.
+
     Upserting by id makes a repeated batch harmless. Of chunks that repeat an
     id within one batch, the one from the latest file counts.
     """
@@ -33,6 +37,6 @@ def follow_chunks(spark: SparkSession, folder: str, collection: Collection, chec
     return (
         arriving.writeStream.foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

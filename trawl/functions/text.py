@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 # What counts as a token, a citation and white space.
 TOKEN_PATTERN = "[a-z0-9]+"
 CITATION_PATTERN = r"\[([A-Za-z0-9][A-Za-z0-9\-_.]*)\]"
-SPACE_CLASS = r"[\s\x1c-\x1f]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Words taken out of a question before the lexical lane sees it.
 FUNCTION_WORDS = """
@@ -26,7 +29,12 @@ QUERY_STOP_WORDS = FUNCTION_WORDS + REPORTING_WORDS
 
 def strip(text):
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def let(value, body):
+    """``body(value)`` with the value worked out once, for use in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tokens(text):

@@ -4,9 +4,9 @@ Each step is a left fold over an array held in one row, so a filing is cut
 where it lies and nothing moves between executors.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from trawl.functions.text import one_line, strip
+from trawl.functions.text import let, one_line, strip
 
 # Where text may be cut, coarse to fine, and where overlap starts.
 SEPARATORS = ["\n", ". ", " "]
@@ -111,22 +111,38 @@ def locate(text, chunks):
 
     A chunk that overlap changed is found by its last characters; -1 if not.
     """
-    none = F.lit(None).cast("int")
 
     def find(piece, cursor):
-        onward, anywhere = F.position(piece, text, cursor + 1), F.position(piece, text)
-        return F.when(onward > 0, onward - 1).when(anywhere > 0, anywhere - 1).otherwise(none)
+        """1-based position at or after the cursor, else anywhere, else 0."""
+        onward = F.position(piece, text, cursor + 1)
+        return let(onward, lambda p: F.when(p > 0, p).otherwise(F.position(piece, text)))
+
+    def span(start, end):
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    def place(chunk, cursor):
+        size, tail = F.length(chunk), F.right(chunk, F.lit(LOCATE_TAIL))
+
+        def by_tail(p):
+            end = p - 1 + F.length(tail)
+            found = span(F.greatest(F.lit(0), end - size), end)
+            return F.when(p > 0, found).otherwise(span(F.lit(-1), F.lit(-1)))
+
+        return let(
+            find(chunk, cursor),
+            lambda p: F.when(p > 0, span(p - 1, p - 1 + size)).otherwise(
+                let(find(tail, cursor), by_tail)
+            ),
+        )
 
     def step(state, chunk):
-        whole = find(chunk, state["cursor"])
-        tail = F.right(chunk, F.lit(LOCATE_TAIL))
-        end = find(tail, state["cursor"]) + F.length(tail)
-        start = F.coalesce(whole, F.greatest(F.lit(0), end - F.length(chunk)), F.lit(-1))
-        stop = F.coalesce(whole + F.length(chunk), end, F.lit(-1))
-        return F.struct(
-            F.when(start >= 0, start + 1).otherwise(state["cursor"]).alias("cursor"),
-            F.concat(state["at"], F.array(F.struct(start.alias("start"), stop.alias("end"))))
-            .alias("at"),
+        cursor = state["cursor"]
+        return let(
+            place(chunk, cursor),
+            lambda at: F.struct(
+                F.when(at["start"] >= 0, at["start"] + 1).otherwise(cursor).alias("cursor"),
+                F.concat(state["at"], F.array(at)).alias("at"),
+            ),
         )
 
     start = F.struct(
@@ -159,20 +175,20 @@ def chunk_filings(filings: DataFrame, settings) -> DataFrame:
             F.zip_with("sections", "chunks", lambda s, c: locate(s["text"], c)),
         )
     )
-    joined = F.zip_with(
-        F.zip_with("chunks", "at", lambda c, a: F.struct(c.alias("c"), a.alias("a"))),
-        "sections",
-        lambda ca, s: F.transform(
-            F.arrays_zip(ca["c"].alias("c"), ca["a"].alias("a")),
-            lambda x, i: F.struct(
-                s["section"].alias("section"),
+    def numbered(section, k):
+        spans = F.get("at", k)
+        return F.transform(
+            F.get("chunks", k),
+            lambda chunk, i: F.struct(
+                section["section"].alias("section"),
                 i.alias("chunk_index"),
-                x["c"].alias("text"),
-                x["a"]["start"].alias("char_start"),
-                x["a"]["end"].alias("char_end"),
+                chunk.alias("text"),
+                F.get(spans, i)["start"].alias("char_start"),
+                F.get(spans, i)["end"].alias("char_end"),
             ),
-        ),
-    )
+        )
+
+    joined = F.transform("sections", numbered)
     rows = per_section.select(*carried, F.flatten(joined).alias("all")).select(
         *carried, F.posexplode_outer("all").alias("number", "chunk")
     )
@@ -190,8 +206,6 @@ def chunk_stats(chunks: DataFrame, by: str) -> DataFrame:
     enough to find them, so a group is never gathered: there are only as many
     rows per group as there are different lengths.
     """
-    from pyspark.sql import Window
-
     lengths = (
         chunks.select(by, F.length("text").alias("length"))
         .groupBy(by, "length")

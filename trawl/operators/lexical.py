@@ -85,18 +85,21 @@ class LexicalIndex:
     def _learn(self, vocabulary):
         """Count n, total length and df of unseen terms in one pass.
 
-        A blank marker term per document carries n and its length along, and
-        the vocabulary of a question block bounds what comes back.
+        Each document adds a blank term that carries n and its length along.
+        The vocabulary of a question block bounds what is joined and returned.
         """
         unseen = sorted(set(vocabulary) - self._df.keys())
         if self._n is not None and not unseen:
             return
-        seen = F.array_distinct(self._only(unseen))
+        wanted = self.docs.sparkSession.createDataFrame(pa.table({"term": ["", *unseen]}))
         rows = (
             self.docs.select(
                 F.size("tokens").alias("dl"),
-                F.explode_outer(F.concat(seen, F.array(F.lit("")))).alias("term"),
+                F.explode_outer(
+                    F.concat(F.array_distinct("tokens"), F.array(F.lit("")))
+                ).alias("term"),
             )
+            .join(wanted, "term")
             .groupBy("term")
             .agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
             .collect()
@@ -107,14 +110,6 @@ class LexicalIndex:
         self._avgdl = total["length"] / total["df"] if total else 0.0
         self._df.update({t: found[t]["df"] if t in found else 0 for t in unseen})
 
-    @staticmethod
-    def _only(vocabulary):
-        """The document's tokens that are in a vocabulary of plain tokens."""
-        if not vocabulary:
-            return F.array().cast("array<string>")
-        quoted = ",".join(f"'{t}'" for t in vocabulary)
-        return F.expr(f"filter(tokens, t -> t IN ({quoted}))")
-
     @property
     def n(self):
         self._learn(())
@@ -158,9 +153,9 @@ class LexicalIndex:
     def search(self, questions: Questions, k: int) -> DataFrame:
         """query_id, bm25_rank, id, bm25_score for documents with a hit.
 
-        Tokens outside the block's vocabulary never leave the JVM, a task
-        scores whole documents and emits its k best per question, and ties go
-        to the earliest matching question token, then to document order.
+        A task scores whole documents in Arrow batches and emits its k best
+        per question, so no (question, document) pair is shuffled. Ties go to
+        the earliest matching question token, then to document order.
         """
         schema = T.StructType(
             [
@@ -195,12 +190,13 @@ class LexicalIndex:
 
         def score(pdf):
             row, term, tf = [], [], []
-            for i, hits in enumerate(pdf["hits"]):
-                counts = Counter(hits.split())
-                row += [i] * len(counts)
-                term += [number[t] for t in counts]
-                tf += counts.values()
-            row, term, tf = np.array(row), np.array(term), np.array(tf, dtype=float)
+            for i, words in enumerate(pdf["words"]):
+                counts = Counter(words.split())
+                asked_here = counts.keys() & number.keys()
+                row += [i] * len(asked_here)
+                term += [number[t] for t in asked_here]
+                tf += [counts[t] for t in asked_here]
+            row, term, tf = np.array(row, dtype=int), np.array(term, dtype=int), np.array(tf, dtype=float)
             by_term = np.argsort(term, kind="stable")
             row, term, tf = row[by_term], term[by_term], tf[by_term]
             length = pdf["dl"].to_numpy(dtype=float)[row] / avgdl
@@ -219,7 +215,7 @@ class LexicalIndex:
         def scan(batches):
             best = Best(len(query_ids), k)
             for batch in batches:
-                for pdf in slices(batch[batch["hits"] != ""], len(query_ids)):
+                for pdf in slices(batch, len(query_ids)):
                     scores, first = score(pdf)
                     if wanted:
                         scores[wrong_company(pdf["ticker"], companies)] = -np.inf
@@ -238,7 +234,7 @@ class LexicalIndex:
             "id",
             "ticker",
             F.size("tokens").alias("dl"),
-            F.array_join(self._only(vocabulary), " ").alias("hits"),
+            F.array_join("tokens", " ").alias("words"),
         )
         return matched.mapInPandas(scan, schema)
 

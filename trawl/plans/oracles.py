@@ -497,7 +497,7 @@ SELECT id, ticker, section, md5(text) AS digest FROM docs
 WHERE id NOT IN (SELECT id FROM fresh) AND ticker NOT IN (SELECT ticker FROM fresh)
 UNION ALL SELECT id, ticker, section, md5(text) FROM fresh""",
     "stored_collection": f"""WITH {DOCS} SELECT id, ticker, section,
-  md5(CASE WHEN section = 'src1' THEN upper(text) ELSE text END) AS digest FROM docs""",
+  md5(CASE WHEN section = 'src1' THEN text || '!' ELSE text END) AS digest FROM docs""",
     "collection_counts": f"""WITH {DOCS}
 SELECT t AS ticker, count(id) AS chunks FROM (SELECT unnest(['DE', 'EN', 'ES', 'FR', 'IT']) AS t)
 LEFT JOIN docs ON ticker = t GROUP BY t UNION ALL SELECT '(all)', count(*) FROM docs""",
@@ -590,10 +590,10 @@ ORACLES["item_sections"] = rf"""WITH lines AS (
       'Item 1. Business' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || 'Item 7. Overview' || chr(10)
       || 'Item 1. Business' || chr(10) || text || chr(10) || 'as discussed in' || chr(10)
       || 'Item 7 of our report.' || chr(10) || 'ITEM 1A. Risk Factors' || chr(10)
-      || replace(text, '. ', '.' || chr(10)) || chr(10) || 'Item 7. [Reserved]' || chr(10) || upper(text)
+      || replace(text, '. ', '.' || chr(10)) || chr(10) || 'Item' || chr(160) || '7. [Reserved]' || chr(10) || replace(text, ' ', '  ')
       || chr(10) || 'Item 9. Other' || chr(10) || text, chr(10)) AS ls FROM documents)),
 heads AS (
-  SELECT *, regexp_extract(line, '^\s*(?:Item|ITEM)\s+(\d{{1,2}}[A-Za-z]?)\b\.?\s+[A-Z\[]', 1) AS item FROM lines),
+  SELECT *, regexp_extract(line, '^\s*(?:Item|ITEM)[\s\x{{a0}}]+(\d{{1,2}}[A-Za-z]?)\b\.?\s+[A-Z\[]', 1) AS item FROM lines),
 slices AS (
   SELECT *, sum((item <> '')::INT) OVER (PARTITION BY id ORDER BY n) AS s FROM heads),
 bodies AS (
@@ -605,3 +605,115 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS position, secti
   length(body) AS chars, md5(body) AS digest
 FROM best JOIN (VALUES {WANTED}) w(o, it, section) ON upper(item) = it
 WHERE k = 1 AND length(body) >= 500"""
+
+# --- chunks: the same folds as list_reduce over {o: finished, b: open} ---
+
+
+def once(value, name, body):
+    return f"(list_transform([{value}], lambda {name}: {body}))[1]"
+
+
+def some(x):
+    return f"(CASE WHEN {x} <> '' THEN [{x}] ELSE []::VARCHAR[] END)"
+
+
+def fold(items, out, buf, n):
+    """Fold strings with state s{n} and item x{n}, then flush the open one."""
+    state = "{'o': []::VARCHAR[], 'b': ''}"
+    start = f"list_transform({items}, lambda p{n}: {{'o': []::VARCHAR[], 'b': p{n}}})"
+    reduced = (
+        f"list_reduce({start}, lambda s{n}, x{n}: {{'o': {out}, 'b': {buf}}}, {state})"
+    )
+    return once(reduced, f"r{n}", f"list_concat(r{n}.o, {some(f'r{n}.b')})")
+
+
+def atoms(x, level=0):
+    n, t = level, f"t{level}"
+    if level == 3:
+        pieces = f"list_transform(range(0, length({t}), 1000), lambda i: substr({t}, i + 1, 1000))"
+    else:
+        sep = ["chr(10)", "'. '", "' '"][level]
+        width = [1, 2, 1][level]
+        s, part = f"s{n}", f"x{n}.b"
+        over = f"length({part}) > 1000"
+        fits = f"length({s}.b) + {width} + length({part}) <= 1000"
+        out = (
+            f"CASE WHEN {over} THEN list_concat(list_concat({s}.o, {some(s + '.b')}), {atoms(part, n + 1)}) "
+            f"WHEN {s}.b = '' OR {fits} THEN {s}.o ELSE list_append({s}.o, {s}.b) END"
+        )
+        buf = (
+            f"CASE WHEN {over} THEN '' WHEN {s}.b = '' THEN {part} "
+            f"WHEN {fits} THEN {s}.b || {sep} || {part} ELSE {part} END"
+        )
+        pieces = fold(f"string_split({t}, {sep})", out, buf, n)
+    return once(
+        strip(x),
+        t,
+        f"CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN length({t}) <= 1000 THEN [{t}] ELSE {pieces} END",
+    )
+
+
+def overlap(x):
+    tail = f"right({x}, 150)"
+    after = " ".join(
+        f"WHEN contains({tail}, {m}) THEN substr({tail}, instr({tail}, {m}) + {w})"
+        for m, w in [("'. '", 2), ("'? '", 2), ("'! '", 2), ("chr(10)", 1), ("' '", 1)]
+    )
+    return f"CASE WHEN length({x}) <= 150 THEN {x} {after} ELSE {tail} END"
+
+
+def packed(items):
+    s, a = "s9", "x9.b"
+    absorb = f"(length({s}.b) + 1 + length({a}) <= 1000 OR length({s}.b) < 200)"
+    seed = overlap(f"{s}.b")
+    out = f"CASE WHEN {s}.b = '' OR {absorb} THEN {s}.o ELSE list_append({s}.o, {s}.b) END"
+    buf = f"""CASE WHEN {s}.b = '' THEN {a} WHEN {absorb} THEN {s}.b || chr(10) || {a}
+      WHEN {seed} <> '' AND length({seed}) + 1 + length({a}) <= 1000 THEN {seed} || chr(10) || {a}
+      ELSE {a} END"""
+    return fold(items, out, buf, 9)
+
+
+def found(piece, cursor):
+    """1-based position in text from a 0-based cursor, else anywhere, else 0."""
+    ahead = f"instr(substr(text, {cursor} + 1), {piece})"
+    return f"CASE WHEN {ahead} > 0 THEN {ahead} + {cursor} ELSE instr(text, {piece}) END"
+
+
+CHUNKS = f"""{stem(DOCS)},
+whole AS (
+  SELECT id, ticker || id AS filing, section, text, {packed(atoms('text'))} AS cs FROM docs),
+cut AS (
+  SELECT * REPLACE (CASE WHEN length(cs[-1]) < 200 THEN cs[1:len(cs) - 1] ELSE cs END AS cs) FROM whole),
+placed AS (
+  SELECT *, list_reduce(
+    list_transform(cs, lambda c: {{'cursor': 0::BIGINT, 'at': []::BIGINT[], 'c': c}}),
+    lambda s, x: {once(found('x.c', 's.cursor'), 'p', once(
+        found('right(x.c, 80)', 's.cursor'), 'q', once(
+            "CASE WHEN p > 0 THEN [p - 1, p - 1 + length(x.c)] WHEN q > 0 THEN "
+            "[greatest(0, q - 1 + length(right(x.c, 80)) - length(x.c)), q - 1 + length(right(x.c, 80))] "
+            "ELSE [-1, -1] END", 'a',
+            "{'cursor': CASE WHEN a[1] >= 0 THEN a[1] + 1 ELSE s.cursor END, "
+            "'at': list_concat(s.at, a), 'c': x.c}")))},
+    {{'cursor': 0::BIGINT, 'at': []::BIGINT[], 'c': ''}}).at AS at FROM cut),
+chunks AS (
+  SELECT printf('%s-%s-%04d', filing, '2024-01-01', i) AS chunk_id, filing, section, i AS chunk_index,
+    cs[i + 1] AS chunk, at[2 * i + 1] AS char_start, at[2 * i + 2] AS char_end
+  FROM (SELECT *, unnest(range(len(cs))) AS i FROM placed))"""
+
+ORACLES |= {
+    "chunk_documents": f"""{CHUNKS} SELECT chunk_id, section, chunk_index, char_start, char_end,
+  md5(chunk) AS digest FROM chunks""",
+    "chunk_files": f"{CHUNKS} SELECT chunk_id AS id, section, char_start, md5(chunk) AS digest FROM chunks",
+    "streamed_collection": f"{CHUNKS} SELECT chunk_id AS id, section, md5(chunk) AS digest FROM chunks",
+    "chunk_length_stats": f"""{CHUNKS} SELECT section, len(l) AS chunks, l[1] AS min_length,
+  l[len(l) // 2 + 1] AS median_length, l[least(len(l) - 1, floor(len(l) * 0.95)::BIGINT) + 1] AS p95_length,
+  l[-1] AS max_length
+FROM (SELECT section, list(length(chunk) ORDER BY length(chunk)) AS l FROM chunks GROUP BY section)""",
+    "chunk_samples": f"""{CHUNKS} SELECT chunk_id, length(chunk) AS length,
+  replace(substr(chunk, 1, 200), chr(10), ' | ') AS head, replace(right(chunk, 160), chr(10), ' | ') AS tail
+FROM (SELECT *, count(*) OVER (PARTITION BY filing) AS n FROM chunks)
+WHERE chunk_index = least(1, n - 1) OR chunk_index = n // 2""",
+    "chunk_bm25": f"""{CHUNKS}, cdocs AS (
+  SELECT chunk_id AS id, substr(filing, 1, 2) AS ticker, {toks('chunk')} AS toks FROM chunks),
+{asked()}, {POSTINGS.replace('FROM docs', 'FROM cdocs')}, {bm25('asked', 'b', 10)} {BM25_ROWS} b""",
+}

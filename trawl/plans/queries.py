@@ -202,10 +202,10 @@ def reports(spark, d) -> DataFrame:
     clean = F.concat(
         F.lit("Item 1. Business\nItem 1A. Risk Factors\nItem 7. Overview\nItem 1. Business\n"),
         body,
-        F.lit("\nas discussed in\nItem 7 of our report.\nITEM 1A. Risk Factors\n"),
+        F.lit("\nas discussed in\nItem 7 of our report.\nITEM 1A. Risk Factors\n"),
         F.replace(body, F.lit(". "), F.lit(".\n")),
-        F.lit("\nItem 7. [Reserved]\n"),
-        F.upper(body),
+        F.lit("\nItem\u00a07. [Reserved]\n"),
+        F.replace(body, F.lit(" "), F.lit("  ")),
         F.lit("\nItem 9. Other\n"),
         body,
     )
@@ -218,7 +218,8 @@ def item_sections(spark, d):
         reports(spark, d)
         .withColumn("slices", item_slices(F.col("clean")))
         .withColumn("s", target_sections(F.col("slices"), SETTINGS.section_min_chars))
-        .select("id", F.posexplode("s").alias("position", "s"))
+        .select("id", F.posexplode_outer("s").alias("position", "s"))
+        .filter(F.col("s").isNotNull())
     )
     return found.select(
         "id",
@@ -840,7 +841,7 @@ def stored_collection(spark, d):
     """Written, upserted and read back; documents first, then some pages."""
     store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
     store.upsert(corpus(spark, d))
-    again = corpus(spark, d).select("id", "ticker", "section", F.upper("text").alias("text"))
+    again = corpus(spark, d).select("id", "ticker", "section", F.concat("text", F.lit("!")).alias("text"))
     store.upsert(again.filter(F.col("section") == "src1"))
     return store.read().select("id", "ticker", "section", F.md5("text").alias("digest"))
 

@@ -686,18 +686,18 @@ cut AS (
   SELECT * REPLACE (CASE WHEN length(cs[-1]) < 200 THEN cs[1:len(cs) - 1] ELSE cs END AS cs) FROM whole),
 placed AS (
   SELECT *, list_reduce(
-    list_transform(cs, lambda c: {{'cursor': 0::BIGINT, 'at': []::BIGINT[], 'c': c}}),
+    list_transform(cs, lambda c: {{'cursor': 0::BIGINT, 'spans': []::BIGINT[], 'c': c}}),
     lambda s, x: {once(found('x.c', 's.cursor'), 'p', once(
         found('right(x.c, 80)', 's.cursor'), 'q', once(
             "CASE WHEN p > 0 THEN [p - 1, p - 1 + length(x.c)] WHEN q > 0 THEN "
             "[greatest(0, q - 1 + length(right(x.c, 80)) - length(x.c)), q - 1 + length(right(x.c, 80))] "
             "ELSE [-1, -1] END", 'a',
             "{'cursor': CASE WHEN a[1] >= 0 THEN a[1] + 1 ELSE s.cursor END, "
-            "'at': list_concat(s.at, a), 'c': x.c}")))},
-    {{'cursor': 0::BIGINT, 'at': []::BIGINT[], 'c': ''}}).at AS at FROM cut),
+            "'spans': list_concat(s.spans, a), 'c': x.c}")))},
+    {{'cursor': 0::BIGINT, 'spans': []::BIGINT[], 'c': ''}}).spans AS spans FROM cut),
 chunks AS (
   SELECT printf('%s-%s-%04d', filing, '2024-01-01', i) AS chunk_id, filing, section, i AS chunk_index,
-    cs[i + 1] AS chunk, at[2 * i + 1] AS char_start, at[2 * i + 2] AS char_end
+    cs[i + 1] AS chunk, spans[2 * i + 1] AS char_start, spans[2 * i + 2] AS char_end
   FROM (SELECT *, unnest(range(len(cs))) AS i FROM placed))"""
 
 ORACLES |= {

@@ -240,23 +240,24 @@ class LexicalIndex:
 
 
 TERM_BUCKETS = 64
-TERM_SALTS = 8
 
 
-def write_index(docs: DataFrame, path: str) -> None:
+def _bucket(buckets):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Persist postings, term and corpus statistics under ``path``.
 
     Postings are laid out by term bucket, so that a search reads only the
-    buckets of its own terms; document-hash salts keep a bucket with a very
-    common term from landing in one write task. Sorting by term lets row
-    groups be skipped.
+    buckets of its own terms. Rebalancing lets the engine split the bucket of
+    a very common term over several tasks and files; sorting by term within
+    them lets row groups be skipped.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-    salt = F.pmod(F.xxhash64("id"), F.lit(TERM_SALTS))
     (
         postings(docs)
-        .withColumn("bucket", bucket)
-        .repartition("bucket", salt)
+        .withColumn("bucket", _bucket(buckets))
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite")
         .partitionBy("bucket")
@@ -266,7 +267,8 @@ def write_index(docs: DataFrame, path: str) -> None:
     stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(
         f"{path}/terms"
     )
-    corpus_stats(docs).write.mode("overwrite").parquet(f"{path}/corpus")
+    stats = corpus_stats(docs).withColumn("buckets", F.lit(buckets))
+    stats.write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def search_index(spark, path: str, questions: Questions, k: int, settings) -> DataFrame:
@@ -277,19 +279,24 @@ def search_index(spark, path: str, questions: Questions, k: int, settings) -> Da
     chooses, and splits a skewed term if it has to shuffle. Contributions are
     pre-aggregated per (question, document) before they move.
     """
-    asked = questions.df.select(
-        "query_id", "company", F.posexplode(lexical_tokens(F.col("question"))).alias("position", "term")
-    ).groupBy("query_id", "company", "term").agg(
-        F.count("*").alias("times"), F.min("position").alias("first")
-    )
-    asked = asked.withColumn(
-        "bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+    n, avgdl, buckets = spark.read.parquet(f"{path}/corpus").first()
+    asked = (
+        questions.df.select(
+            "query_id",
+            "company",
+            F.posexplode_outer(lexical_tokens(F.col("question"))).alias("position", "term"),
+        )
+        .filter(F.col("term").isNotNull())
+        .groupBy("query_id", "company", "term")
+        .agg(F.count("*").alias("times"), F.min("position").alias("first"))
+        .withColumn("bucket", _bucket(buckets))
     )
-    corpus = spark.read.parquet(f"{path}/corpus")
-    n, avgdl = corpus.select("n").scalar(), corpus.select("avgdl").scalar()
+    # at most as many rows as the index has buckets
+    touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
     terms = spark.read.parquet(f"{path}/terms")
-    stored = spark.read.parquet(f"{path}/postings")
-    weighted = asked.join(terms, "term").withColumn("idf", idf(n, F.col("df"))).drop("df")
+    stored = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(touched))
+    weight = idf(F.lit(n), F.col("df"))
+    weighted = asked.join(terms, "term").withColumn("idf", weight).drop("df")
     k1, b = settings.bm25_k1, settings.bm25_b
     norm = k1 * (1 - b + b * F.col("dl") / avgdl)
     gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)

@@ -14,6 +14,7 @@ from trawl.functions.text import mentioned_companies, tokens
 from trawl.operators.dense import dense_top_k, mmr_select
 from trawl.operators.fusion import fuse, join_lanes, rerank, round_robin
 from trawl.operators.questions import Questions
+from trawl.sources.collection import id_bucket
 
 
 class Retriever(Protocol):
@@ -25,9 +26,12 @@ class DenseRetriever:
 
     prefix_of_deeper = True
 
-    def __init__(self, corpus: DataFrame, embedder):
-        self.corpus = corpus
-        self.embedder = embedder
+    def __init__(self, corpus: DataFrame, embedder, buckets=None):
+        self.corpus, self.embedder, self.buckets = corpus, embedder, buckets
+
+    @classmethod
+    def over(cls, collection, embedder):
+        return cls(collection.read(), embedder, collection.buckets)
 
     def retrieve(self, questions, k, include_embeddings=False):
         vector = self.embedder.questions(F.col("question"))
@@ -38,9 +42,14 @@ class DenseRetriever:
 
     def attach(self, ranked, questions, per_question, *columns):
         """Add corpus columns to ranked rows. The rows are few and bounded, so
-        they are what moves; the corpus is only scanned for its column."""
-        rows = self.corpus.select("id", *columns)
-        return rows.join(questions.small(ranked, per_question), "id")
+        they are what moves; the corpus is only scanned for its column, and of
+        a stored collection only the folders that the ids fall into."""
+        keys = ["id"]
+        if self.buckets:
+            keys = ["bucket", "id"]
+            ranked = ranked.withColumn("bucket", id_bucket(self.buckets))
+        rows = self.corpus.select(*keys, *columns)
+        return rows.join(questions.small(ranked, per_question), keys).drop("bucket")
 
 
 class MMRRetriever:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ID_BUCKETS = 64
 
 
+def id_bucket(buckets):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
 def upserted(target: DataFrame, source: DataFrame, prune_within=None) -> DataFrame:
     """Target with source rows put in, by id. Rows only the target has stay,
     unless ``prune_within`` names a column (a ticker, say): then those that
@@ -34,7 +38,9 @@ class Collection:
         return True
 
     def read(self, ticker=None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path).drop("bucket")
+        """All rows, or a ticker's. The bucket column lets a lookup by id
+        read only the folders of the ids it wants."""
+        rows = self.spark.read.parquet(self.path)
         return rows.filter(F.col("ticker") == ticker.upper()) if ticker else rows
 
     def upsert(self, chunks: DataFrame, embedder=None) -> int:
@@ -45,8 +51,7 @@ class Collection:
         """
         if embedder:
             chunks = chunks.withColumn("embedding", embedder.documents(F.col("text")))
-        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
-        rows = chunks.withColumn("bucket", bucket)
+        rows = chunks.withColumn("bucket", id_bucket(self.buckets))
         incoming = chunks.select("id").count()
         if not incoming:
             return 0
@@ -57,9 +62,10 @@ class Collection:
             stored = self.spark.read.parquet(self.path)
             scope = stored.join(F.broadcast(touched), ["ticker", "bucket"], "left_semi")
             rows = upserted(scope.select(*rows.columns), rows)
-        salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))
+        # rebalancing splits a hot folder over several tasks and joins small ones
         (
-            rows.repartition("ticker", "bucket", salt)
+            rows.hint("rebalance", "ticker", "bucket")
+            .sortWithinPartitions("ticker", "bucket", "id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("ticker", "bucket")

@@ -54,7 +54,7 @@ def _scan(vectors, block, k, schema):
         yield pd.DataFrame(
             {
                 "query_id": query_ids[hits["q"].to_numpy(dtype=int)],
-                "id": hits["id"],
+                "id": hits["id"].astype(object),
                 "similarity": hits["score"],
             }
         )

@@ -224,7 +224,7 @@ class LexicalIndex:
             yield pd.DataFrame(
                 {
                     "query_id": query_ids[hits["q"].to_numpy(dtype=int)],
-                    "id": hits["id"],
+                    "id": hits["id"].astype(object),
                     "bm25_score": hits["score"],
                     "tie": hits["tie"],
                 }

@@ -76,10 +76,12 @@ def index(spark, d, settings=SETTINGS) -> LexicalIndex:
 def sentence_rewrites(spark, d, limit) -> DataFrame:
     """Each question's sentences, standing in for recorded rewrites."""
     parts = F.transform(F.split("text", r"[.\n]"), tx.strip)
-    called = table(spark, d, "benchmark").select(
-        F.col("text").alias("question"), parts.alias("result")
+    recorded = table(spark, d, "benchmark").select(
+        F.lit("recorded").alias("model"),
+        F.col("text").alias("question"),
+        adapters.clean_list(parts, limit).alias("rewrites"),
     )
-    return adapters.clean_rewrites(called, limit)
+    return adapters.each_rewrite(recorded, "recorded")
 
 
 def golden(spark, d):
@@ -880,9 +882,8 @@ def rewrite_cache(spark, d):
     )
     lists.select(F.to_json("m").alias("value")).repartition(4).write.text(path)
     found = spark.read.text(path)
-    return readers.parse_rewrites(found).select(
-        "model", "question", F.col("position").cast("bigint").alias("position"), "rewrite"
-    )
+    rewrites = adapters.each_rewrite(readers.parse_rewrites(found), "recorded")
+    return rewrites.select("question", F.col("position").cast("bigint").alias("position"), "rewrite")
 
 
 @query

@@ -1,5 +1,6 @@
 """Scans of the JSON files that stages leave behind, with fixed schemas."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 METADATA = [
@@ -19,6 +20,7 @@ FILING_SCHEMA = (
     "accession_number string, primary_doc string, source_url string, "
     "sections array<struct<section:string,text:string>>"
 )
+PAGE_SCHEMA = "accession_number string, source_url string, html string"
 GOLDEN_SCHEMA = (
     "id int, question string, company string, category string, relevant_ids array<string>, "
     "recall_reliable boolean, why string"
@@ -55,59 +57,81 @@ def write_filings(filings: DataFrame, path: str) -> None:
     filings.write.mode("overwrite").partitionBy("ticker").json(path)
 
 
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Text files as one value each; no rows where there is no such file."""
+    try:
+        return spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], "value string")
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The cache of downloaded pages; no rows before the first download."""
+    try:
+        return spark.read.schema(PAGE_SCHEMA).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], PAGE_SCHEMA)
+
+
 def read_rewrites(spark: SparkSession, path: str) -> DataFrame:
     """Rewrite cache files, each one JSON object over any number of lines."""
-    return parse_rewrites(spark.read.option("wholetext", True).text(path))
+    return parse_rewrites(read_whole(spark, path))
 
 
 def parse_rewrites(text: DataFrame) -> DataFrame:
     """Caches {model: {question: [rewrite]}} in column value as model, question,
-    position, rewrite. A value that is no such object gives no rows; the older
+    rewrites. A value that is no such object gives no rows; the older
     flat layout, which names its model under "__model__", is read as well."""
     nested = F.from_json("value", "map<string,map<string,array<string>>>")
-    flat = F.from_json("value", "map<string,array<string>>")
+    flat = F.map_filter(
+        F.from_json("value", "map<string,string>"), lambda question, _: question != "__model__"
+    )
+    lists = F.transform_values(flat, lambda _, v: F.from_json(v, "array<string>"))
     model = F.get_json_object("value", "$.__model__")
     models = F.when(
-        model.isNotNull(),
-        F.map_from_arrays(
-            F.array(model), F.array(F.map_filter(flat, lambda q, _: q != "__model__"))
-        ),
+        model.isNotNull(), F.map_from_arrays(F.array(model), F.array(lists))
     ).otherwise(nested)
-    return (
-        text.select(F.explode(models).alias("model", "questions"))
-        .select("model", F.explode("questions").alias("question", "rewrites"))
-        .select("model", "question", F.posexplode("rewrites").alias("position", "rewrite"))
+    return text.select(F.explode(models).alias("model", "questions")).select(
+        "model", F.explode("questions").alias("question", "rewrites")
     )
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """A judge cache {model#vN: {question: {id: bool}}} as
     namespace, question, id, relevant."""
-    text = spark.read.option("wholetext", True).text(path)
     nested = F.from_json("value", "map<string,map<string,map<string,boolean>>>")
     return (
-        text.select(F.explode(nested).alias("namespace", "questions"))
+        read_whole(spark, path)
+        .select(F.explode(nested).alias("namespace", "questions"))
         .select("namespace", F.explode("questions").alias("question", "verdicts"))
         .select("namespace", "question", F.explode("verdicts").alias("id", "relevant"))
     )
 
 
+SIDECAR_SCHEMA = (
+    "query_id int, question string, hand_key array<string>, judged_relevant array<string>, "
+    "new_key array<string>, added array<string>, pool_size bigint, model string, pool_depth int"
+)
+
+
+def write_sidecar(rows: DataFrame, path: str, model: str, depth: int) -> None:
+    """Completed keys, a line per question; the golden set is left alone."""
+    rows.withColumn("model", F.lit(model)).withColumn("pool_depth", F.lit(depth)).write.mode(
+        "overwrite"
+    ).json(path)
+
+
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """Completed keys, one row per question and id."""
-    text = spark.read.option("wholetext", True).text(path)
-    shape = (
-        "model string, pool_depth int, questions map<string,struct<question:string,"
-        "hand_key:array<string>,pool_size:int,judged_relevant:array<string>,"
-        "new_key:array<string>,added:array<string>>>"
-    )
-    parsed = text.select(F.from_json("value", shape).alias("s")).select(
-        "s.model", "s.pool_depth", F.explode("s.questions").alias("query_id", "entry")
-    )
-    return parsed.select(
-        F.col("query_id").cast("int").alias("query_id"),
-        F.explode("entry.new_key").alias("id"),
-    )
+    """Completed keys that are not empty, one row per question and id."""
+    lines = spark.read.schema(SIDECAR_SCHEMA).json(path)
+    return lines.select("query_id", F.explode("new_key").alias("id"))
 
 
-def write_sidecar(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def parse_sidecar(text: DataFrame) -> DataFrame:
+    """The same from one JSON object {model, pool_depth, questions: {id: ...}}
+    in column value."""
+    shape = "questions map<string,struct<new_key:array<string>>>"
+    return (
+        text.select(F.explode(F.from_json("value", shape).getField("questions")).alias("q", "entry"))
+        .select(F.col("q").cast("int").alias("query_id"), F.explode("entry.new_key").alias("id"))
+    )

@@ -11,7 +11,7 @@ from trawl.functions.text import informative_tokens, lexical_tokens, tokens
 from trawl.operators.questions import Questions
 from trawl.operators.ranking import Best, merge_top_k, slices, top_k, wrong_company
 
-BLOCK = 256
+BLOCK = 1024
 
 
 def postings(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from trawl.session import written
+
 LOCAL_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000
 
@@ -25,7 +27,8 @@ class Questions:
         """Normalise the filter's case and pin down a small batch.
 
         A batch of up to ``LOCAL_ROWS`` becomes a local relation: its size is
-        then known to the optimizer and its own plan never runs again.
+        then known to the optimizer and its own plan never runs again. A larger
+        one is written to the shared folder, to be read once per block.
         """
         if "company" not in df.columns:
             df = df.withColumn("company", F.lit(None).cast("string"))
@@ -33,6 +36,7 @@ class Questions:
         head = df.limit(LOCAL_ROWS + 1).toArrow()
         if head.num_rows <= LOCAL_ROWS:
             return cls(df.sparkSession.createDataFrame(head, df.schema), head.num_rows)
+        df = written(df, "questions")
         return cls(df, df.count())
 
     def blocks(self, extra: dict, rows: int):

@@ -326,7 +326,8 @@ def decoded(x):
 
 
 FRESH = """fresh AS (
-  SELECT page_id * 2 AS id, 'EN' AS ticker, 'web' AS section, url AS text FROM pages)"""
+  SELECT page_id * 2 AS id, upper(regexp_extract(url, '/([a-z]{2})/', 1)) AS ticker, 'web' AS section,
+    url AS text FROM pages)"""
 
 ORACLES = {
     "tokenize_documents": f"""{stem(DOCS)} SELECT id, len(toks) AS n_tokens,

@@ -22,7 +22,7 @@ from trawl.plans.retrievers import (
     CompanyDecomposition, DenseRetriever, HybridRetriever, RerankRetriever, RewriteRetriever,
     compare_arms, full_stack, token_overlap,
 )
-from trawl.session import scratch_path
+from trawl.session import scratch_path, written
 from trawl.sources import adapters, filings, readers
 from trawl.sources.collection import Collection, ticker_counts, upserted
 from trawl.sources.tables import spread, table
@@ -88,7 +88,8 @@ def golden(spark, d):
     """(questions, key): documents that contain a question word for word.
 
     Found by an equi-join on the question's longest inner token, which such a
-    document must hold, and then checked in full.
+    document must hold, and then checked in full. Written down, as an answer
+    key is a table that every score reads.
     """
     items = table(spark, d, "benchmark")
     inner = F.slice(tx.tokens("text"), 2, F.greatest(F.size(tx.tokens("text")) - 2, F.lit(0)))
@@ -107,6 +108,7 @@ def golden(spark, d):
         .filter(F.contains("body", "text"))
         .select(F.col("item_id").alias("query_id"), "id")
     )
+    key = written(key, "key")
     counted = key.groupBy("query_id").agg(F.count("*").alias("hits"))
     questions = items.select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
@@ -555,7 +557,8 @@ def pooled(spark, d, depth=20):
     base = dense(spark, d)
     hybrid = HybridRetriever(base, index(spark, d), SETTINGS, fusion="interleave")
     batch = asked(spark, d)
-    return pool_union([base.retrieve(batch, depth), hybrid.retrieve(batch, depth)])
+    pool = pool_union([base.retrieve(batch, depth), hybrid.retrieve(batch, depth)])
+    return written(pool, "pool")
 
 
 @query
@@ -819,7 +822,7 @@ def latest_annual_reports(spark, d):
 def page_chunks(spark, d):
     return spread(table(spark, d, "pages")).select(
         (F.col("page_id") * 2).alias("id"),
-        F.lit("EN").alias("ticker"),
+        F.upper(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("ticker"),
         F.lit("web").alias("section"),
         F.col("url").alias("text"),
     )

@@ -75,23 +75,32 @@ class HybridRetriever:
         if not self.gated:
             return self._fused(questions, self.base.retrieve(questions, pool), k)
         gate = self.index.looks_lexical(questions)
-        lexical, plain = (
-            Questions.of(questions.df.join(gate.filter(keep), "query_id", "left_semi"))
-            for keep in (F.col("opaque"), ~F.col("opaque"))
-        )
-        if getattr(self.base, "prefix_of_deeper", False):
-            # one scan serves both: the best k of a deeper list are the list at k
-            deep = self.base.retrieve(questions, max(pool, k))
-            dense = deep.join(lexical.small(lexical.df.select("query_id"), 1), "query_id", "left_semi")
-            dense = dense.filter(F.col("rank") <= pool)
-            passed = deep.join(plain.small(plain.df.select("query_id"), 1), "query_id", "left_semi")
-            passed = passed.filter(F.col("rank") <= k)
-        else:
-            dense = self.base.retrieve(lexical, pool)
-            passed = self.base.retrieve(plain, k)
-        return self._fused(lexical, dense, k).unionByName(
-            passed.withColumn("fusion", F.lit("dense-passthrough")), allowMissingColumns=True
-        )
+        opaque = F.col("opaque")
+        lexical = self._subset(questions, gate.filter(opaque))
+        gate = questions.small(gate, 1)
+        if not getattr(self.base, "prefix_of_deeper", False):
+            plain = self._subset(questions, gate.filter(~opaque))
+            fused = self._fused(lexical, self.base.retrieve(lexical, pool), k)
+            return fused.unionByName(
+                self.base.retrieve(plain, k).withColumn("fusion", F.lit("dense-passthrough")),
+                allowMissingColumns=True,
+            )
+        # The best k of a deeper dense list are the list at k, and fusing a dense
+        # list with nothing keeps its order: one scan serves gated and passed alike.
+        deep = self.base.retrieve(questions, max(pool, k)).join(gate, "query_id")
+        dense = deep.filter(F.col("rank") <= F.when(opaque, pool).otherwise(k))
+        fused = self._fused(lexical, dense.drop("opaque"), k).join(gate, "query_id")
+        lane_columns = ["dense_rank", "bm25_rank", "bm25_score", "rrf_score"]
+        return fused.withColumns(
+            {
+                "fusion": F.when(opaque, F.col("fusion")).otherwise("dense-passthrough"),
+                **{c: F.when(opaque, F.col(c)) for c in lane_columns},
+            }
+        ).drop("opaque")
+
+    @staticmethod
+    def _subset(questions, kept):
+        return Questions.of(questions.df.join(kept, "query_id", "left_semi"))
 
     def _fused(self, questions, dense, k):
         lanes = join_lanes(dense, self.index.search(questions, self.settings.pool))

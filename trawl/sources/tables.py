@@ -8,10 +8,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that has fewer files than there are cores.
+    """Deal out the rows of a table that splits into fewer parts than cores.
 
-    Tokenising, embedding and chunking cost CPU per row, so a handful of files
+    Tokenising, embedding and chunking cost CPU per row, so a file or two
     would leave most cores idle. A table of many files is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

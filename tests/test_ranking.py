@@ -14,7 +14,7 @@ from trawl.functions.text import QUERY_STOP_WORDS
 from trawl.operators import dense as dense_ops, lexical, questions as question_ops
 from trawl.operators.dense import dense_top_k, mmr_select
 from trawl.operators.fusion import fuse, join_lanes, pool_union, round_robin
-from trawl.operators.lexical import LexicalIndex, search_index, write_index
+from trawl.operators.lexical import LexicalIndex, StoredIndex, write_index
 from trawl.operators.questions import Questions
 from trawl.session import scratch_path
 
@@ -109,8 +109,11 @@ def test_stored_index_gives_the_same(spark, corpus, batch):
     index = LexicalIndex.from_text(df, S)
     path = scratch_path(spark, "index")
     write_index(index.docs, path, buckets=4)
-    stored = search_index(spark, path, batch, 7, S)
-    assert sorted(rows(stored)) == sorted(rows(index.search(batch, 7)))
+    stored = StoredIndex(spark, path, S)
+    assert sorted(rows(stored.search(batch, 7))) == sorted(rows(index.search(batch, 7)))
+    assert sorted(rows(stored.looks_lexical(batch))) == sorted(rows(index.looks_lexical(batch)))
+    none = Questions.of(batch.df.filter("query_id = 7"))
+    assert rows(StoredIndex(spark, path, S).search(none, 7)) == []
 
 
 def test_postings_count_terms(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from trawl.functions.text import informative_tokens, lexical_tokens, tokens
 from trawl.operators.questions import Questions
-from trawl.operators.ranking import Best, merge_top_k, slices, top_k, wrong_company
+from trawl.operators.ranking import Best, merge_top_k, slices, wrong_company
 
 BLOCK = 1024
 
@@ -91,7 +91,7 @@ class LexicalIndex:
         unseen = sorted(set(vocabulary) - self._df.keys())
         if self._n is not None and not unseen:
             return
-        wanted = self.docs.sparkSession.createDataFrame(pa.table({"term": ["", *unseen]}))
+        wanted = _term_table(self.docs.sparkSession, ["", *unseen])
         rows = (
             self.docs.select(
                 F.size("tokens").alias("dl"),
@@ -183,10 +183,8 @@ class LexicalIndex:
         df = np.array([self._df[t] for t in vocabulary], dtype=float)
         weight = np.log(1 + (self._n - df + 0.5) / (df + 0.5))
         avgdl, k1, b = self._avgdl, self.settings.bm25_k1, self.settings.bm25_b
-        docs = self.docs
         wanted = sorted({c for c in companies if c is not None})
-        if companies and None not in companies:
-            docs = docs.filter(F.col("ticker").isin(wanted))
+        only = wanted if companies and None not in companies else None
 
         def score(pdf):
             row, term, tf = [], [], []
@@ -230,13 +228,23 @@ class LexicalIndex:
                 }
             )
 
-        matched = docs.select(
+        return self._words(vocabulary, only).mapInPandas(scan, schema)
+
+    def _words(self, vocabulary, tickers):
+        """id, ticker, dl, words of every document that may hold a hit."""
+        docs = self.docs.filter(F.col("ticker").isin(tickers)) if tickers else self.docs
+        return docs.select(
             "id",
             "ticker",
             F.size("tokens").alias("dl"),
             F.array_join("tokens", " ").alias("words"),
         )
-        return matched.mapInPandas(scan, schema)
+
+
+def _term_table(spark, terms):
+    return spark.createDataFrame(
+        pa.table({"term": list(terms)}, schema=pa.schema([("term", pa.string())]))
+    )
 
 
 TERM_BUCKETS = 64
@@ -271,40 +279,36 @@ def write_index(docs: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None
     stats.write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def search_index(spark, path: str, questions: Questions, k: int, settings) -> DataFrame:
-    """BM25 from a stored index by joining question terms to postings.
+class StoredIndex(LexicalIndex):
+    """The same searches over an index that ``write_index`` left under a path.
 
-    Same result as ``LexicalIndex.search``. Question terms are a small local
-    relation or, for a huge batch, an ordinary join input; the optimizer
-    chooses, and splits a skewed term if it has to shuffle. Contributions are
-    pre-aggregated per (question, document) before they move.
+    Only the buckets of the asked terms are read. Postings of asked terms move
+    once, to sit together by document, and are then scored like any corpus.
     """
-    n, avgdl, buckets = spark.read.parquet(f"{path}/corpus").first()
-    asked = (
-        questions.df.select(
-            "query_id",
-            "company",
-            F.posexplode_outer(lexical_tokens(F.col("question"))).alias("position", "term"),
+
+    def __init__(self, spark, path: str, settings):
+        super().__init__(spark.read.parquet(f"{path}/postings"), settings)
+        self.terms = spark.read.parquet(f"{path}/terms")
+        self._n, self._avgdl, self.buckets = spark.read.parquet(f"{path}/corpus").first()
+
+    def _learn(self, vocabulary):
+        unseen = sorted(set(vocabulary) - self._df.keys())
+        if unseen:
+            asked = _term_table(self.docs.sparkSession, unseen)
+            found = dict(tuple(r) for r in self.terms.join(asked, "term").collect())
+            self._df.update({t: found.get(t, 0) for t in unseen})
+
+    def _words(self, vocabulary, tickers):
+        asked = _term_table(self.docs.sparkSession, vocabulary)
+        asked = asked.withColumn("bucket", _bucket(self.buckets))
+        # at most as many rows as the index has buckets
+        touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+        rows = self.docs.filter(F.col("bucket").isin(touched))
+        if tickers:
+            rows = rows.filter(F.col("ticker").isin(tickers))
+        occurrences = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf"))))
+        return (
+            rows.join(asked, ["bucket", "term"])
+            .groupBy("id", "ticker", "dl")
+            .agg(F.array_join(occurrences, " ").alias("words"))
         )
-        .filter(F.col("term").isNotNull())
-        .groupBy("query_id", "company", "term")
-        .agg(F.count("*").alias("times"), F.min("position").alias("first"))
-        .withColumn("bucket", _bucket(buckets))
-    )
-    # at most as many rows as the index has buckets
-    touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
-    terms = spark.read.parquet(f"{path}/terms")
-    stored = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(touched))
-    weight = idf(F.lit(n), F.col("df"))
-    weighted = asked.join(terms, "term").withColumn("idf", weight).drop("df")
-    k1, b = settings.bm25_k1, settings.bm25_b
-    norm = k1 * (1 - b + b * F.col("dl") / avgdl)
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    hits = (
-        stored.join(weighted, ["bucket", "term"])
-        .filter(F.col("company").isNull() | (F.col("company") == F.col("ticker")))
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(gain), 9).alias("bm25_score"), F.min("first").alias("tie"))
-    )
-    order = [F.desc("bm25_score"), F.asc("tie"), F.asc("id")]
-    return top_k(hits, k, order, "bm25_rank").select("query_id", "bm25_rank", "id", "bm25_score")

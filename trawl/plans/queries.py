@@ -328,7 +328,7 @@ def bm25_filtered(spark, d):
 def bm25_stored_index(spark, d):
     path = scratch_path(spark, "index")
     lexical.write_index(index(spark, d).docs, path, buckets=8)
-    return bm25_rows(lexical.search_index(spark, path, asked(spark, d), 10, SETTINGS))
+    return bm25_rows(lexical.StoredIndex(spark, path, SETTINGS).search(asked(spark, d), 10))
 
 
 @query

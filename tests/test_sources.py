@@ -155,6 +155,13 @@ def test_collection_upserts_only_what_changes(spark):
     assert dict(rows(ticker_counts(store.read(), ["A", "Z"]))) == {"A": 41, "Z": 0, None: 42}
 
 
+def test_tickers_stay_text(spark):
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=2)
+    store.upsert(spark.createDataFrame([("0700-1", "0700", "x")], CHUNK))
+    store.upsert(spark.createDataFrame([("0700-1", "0700", "y"), ("0700-2", "0700", "z")], CHUNK))
+    assert store.count("0700") == 2 and store.read().filter("text = 'y'").first()["ticker"] == "0700"
+
+
 def test_lookups_in_a_stored_collection_are_pruned(spark):
     store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
     e = HashedTokens(8)

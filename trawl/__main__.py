@@ -17,7 +17,7 @@ from trawl.functions.vectors import HashedTokens, SentenceModel, dot, l2_norm
 from trawl.operators import chunking, grounding, judge as judging, metrics
 from trawl.operators.fusion import pool_union
 from trawl.operators.lexical import LexicalIndex
-from trawl.operators.questions import Questions
+from trawl.operators.questions import Questions, broadcast_if_small
 from trawl.plans.retrievers import (
     CompanyDecomposition, DenseRetriever, HybridRetriever, MMRRetriever, RerankRetriever,
     RewriteRetriever, compare_arms, cross_encoder, token_overlap,
@@ -256,8 +256,8 @@ def judge(ws):
     batch = Questions.of(questions)
     lists = [r.retrieve(batch, s.judge_pool) for r in (ws.dense(), ws.stack(batch))]
     pool = written(pool_union(lists), "pool")
-    pairs = pool.select("query_id", "id").unionByName(key).distinct()
-    texts = ws.collection.read().select("id", "text").join(F.broadcast(pairs), "id")
+    pairs = written(pool.select("query_id", "id").unionByName(key).distinct(), "pairs")
+    texts = ws.collection.read().select("id", "text").join(broadcast_if_small(pairs), "id")
     prompts = texts.join(questions, "query_id").select(
         "query_id",
         "question",

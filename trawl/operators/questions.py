@@ -14,7 +14,10 @@ from trawl.session import written
 LOCAL_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000
 
-COLUMNS = ("query_id", "question", "company")
+
+def broadcast_if_small(stored: DataFrame) -> DataFrame:
+    """Hint a broadcast of a stored table after counting its rows."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,10 @@
 """The stored collection: one Parquet dataset of chunks and their vectors."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from trawl.operators.questions import broadcast_if_small
+from trawl.session import written
 
 ID_BUCKETS = 64
 
@@ -40,9 +43,17 @@ class Collection:
     def read(self, ticker=None) -> DataFrame:
         """All rows, or a ticker's. The bucket column lets a lookup by id
         read only the folders of the ids it wants."""
-        rows = self.spark.read.parquet(self.path)
+        rows = self._stored()
         return rows.filter(F.col("ticker") == ticker.upper()) if ticker else rows
 
+    def _stored(self):
+        """The dataset with tickers as text, also those that look like numbers."""
+        found = self.spark.read.parquet(self.path).schema
+        text = T.StructType(
+            [T.StructField(f.name, T.StringType()) if f.name == "ticker" else f for f in found]
+        )
+        return self.spark.read.schema(text).parquet(self.path)
+
     def upsert(self, chunks: DataFrame, embedder=None) -> int:
         """Write chunks (id, ticker, text, ...), embedding them if asked to.
 
@@ -52,15 +63,15 @@ class Collection:
         if embedder:
             chunks = chunks.withColumn("embedding", embedder.documents(F.col("text")))
         rows = chunks.withColumn("bucket", id_bucket(self.buckets))
-        incoming = chunks.select("id").count()
+        folders = ["ticker", "bucket"]
+        touched = written(rows.groupBy(*folders).agg(F.count("*").alias("n")), "touched")
+        incoming = touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not incoming:
             return 0
         if self.exists():
-            # Only folders that change are read, joined and written again. There
-            # are no more rows in ``touched`` than folders in the collection.
-            touched = rows.select("ticker", "bucket").distinct()
-            stored = self.spark.read.parquet(self.path)
-            scope = stored.join(F.broadcast(touched), ["ticker", "bucket"], "left_semi")
+            # only folders that change are read, joined and written again
+            stored = self._stored()
+            scope = stored.join(broadcast_if_small(touched), folders, "left_semi")
             rows = upserted(scope.select(*rows.columns), rows)
         # rebalancing splits a hot folder over several tasks and joins small ones
         (

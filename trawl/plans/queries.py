@@ -43,7 +43,7 @@ def query(f):
 
 
 def corpus(spark, d) -> DataFrame:
-    return spread(table(spark, d, "documents")).select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         F.upper("lang").alias("ticker"),
         F.col("source").alias("section"),
@@ -196,7 +196,7 @@ def id_companies(spark, d):
 
 @query
 def page_text(spark, d):
-    pages = spread(table(spark, d, "pages"))
+    pages = spread(table(spark, d, "pages"), "page_id")
     return pages.select("page_id", html_to_text(F.col("html")).alias("clean"))
 
 
@@ -346,7 +346,7 @@ def chunk_bm25(spark, d):
 @query
 def vector_stats(spark, d):
     v = F.col("embedding")
-    return spread(table(spark, d, "embeddings")).select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         "vec_id",
         F.size(v).cast("bigint").alias("dim"),
         F.round(l2_norm(v), 6).alias("norm"),
@@ -363,7 +363,7 @@ def hashed_embeddings(spark, d):
 
 
 def vector_store(spark, d):
-    return spread(table(spark, d, "embeddings")).select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("id"), F.col("label").cast("string").alias("ticker"), "embedding"
     )
 
@@ -820,7 +820,7 @@ def latest_annual_reports(spark, d):
 
 
 def page_chunks(spark, d):
-    return spread(table(spark, d, "pages")).select(
+    return spread(table(spark, d, "pages"), "page_id").select(
         (F.col("page_id") * 2).alias("id"),
         F.upper(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("ticker"),
         F.lit("web").alias("section"),

@@ -65,7 +65,7 @@ def unit(seed, *columns):
 
 def mix_sources(
     docs: DataFrame, quality: DataFrame | None = None, seed=11, weights=(1, 2, 3), cap=3,
-    id_col="doc_id", text_col="text", source_col="source", stretch_rows=50_000,
+    id_col="doc_id", text_col="text", source_col="source", stretch_rows=10_000,
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, epochs, taken.
 

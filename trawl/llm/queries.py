@@ -9,6 +9,7 @@ from trawl.llm.mixing import mix_sources
 from trawl.llm.ngram_join import ngram_join
 from trawl.llm.secrets import scan_secrets
 from trawl.llm.sharding import shard_rows
+from trawl.llm.topk import top_k
 from trawl.llm.url_filters import filter_urls, host
 from trawl.sources.tables import table
 
@@ -32,6 +33,13 @@ def toxicity_model(spark, d, docs):
     return tox.fit(tox.training_rows(docs, labels))
 
 
+@query
+def op1_top_k(spark, d):
+    docs = table(spark, d, "documents")
+    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return top_k(docs, asked)
+
+
 @query
 def op2_line_dedup(spark, d):
     done = dedup_lines(table(spark, d, "documents"))

@@ -62,12 +62,12 @@ def slices(column, limit=1 << 21):
         first = last
 
 
-def word_spans(data, offsets):
+def word_spans(data, offsets, separators=_SPACE):
     """Start and end of every word, and where each text's words begin in them."""
     if len(data) == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(solid)

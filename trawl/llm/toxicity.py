@@ -18,7 +18,8 @@ import zstandard as zs
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 8  # words
-STEPS = (2, 3, 4, 5, 6, 8, 10)  # saved bytes at which windows are counted
+GRAM = 5  # characters
+STEPS = (1, 2, 3, 4, 5, 6, 8)  # saved bytes at which windows are counted
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,22 @@ def windows(text, size=WINDOW):
     return [" ".join(words[i : i + size]).encode() for i in range(0, len(words), size)]
 
 
+def grams(word, size=GRAM):
+    """The stretches of ``size`` characters of a word and the space before it."""
+    word = f" {word}"
+    return {word[i : i + size] for i in range(len(word) - size + 1)}
+
+
+def peculiar_part(word, peculiar, size=GRAM):
+    """What of a word peculiar grams cover."""
+    word = f" {word}"
+    held = [False] * len(word)
+    for i in range(len(word) - size + 1):
+        if word[i : i + size] in peculiar:
+            held[i : i + size] = [True] * size
+    return "".join(c for c, h in zip(word, held) if h)
+
+
 class Compressors:
     def __init__(self, ordinary, toxic):
         options = zs.ZstdCompressionParameters(
@@ -90,12 +107,12 @@ def trained(samples, size, fallback):
         return b" ".join(samples)[-size:] or fallback
 
 
-def fit(rows, ordinary_bytes=100_000, toxic_bytes=4096, seen=8, ratio=40.0):
+def fit(rows, ordinary_bytes=100_000, toxic_bytes=1280, seen=8, ratio=15.0):
     """A model from (id, text, label) rows held in memory.
 
     A third of the rows calibrate, the others train. The toxic dictionary is trained on those
-    words of toxic texts that occur in at least ``seen`` of them and ``ratio``
-    times as often as in ordinary ones.
+    parts of words that occur in at least ``seen`` toxic texts and ``ratio`` times as often
+    in them as in ordinary ones.
     """
     first = {}
     for i, text, label in rows:  # copies would count as evidence several times
@@ -104,20 +121,19 @@ def fit(rows, ordinary_bytes=100_000, toxic_bytes=4096, seen=8, ratio=40.0):
     part = [zlib.crc32(f"part {i}".encode()) % 3 for i, _, _ in rows]
     train = [r for r, p in zip(rows, part) if p]
     check = [r for r, p in zip(rows, part) if not p]
-    bare = lambda text: [w.strip(".,;:!?\"'()") for w in words_of(text)]
-    toxic = [bare(t) for _, t, y in train if y]
+    toxic = [words_of(t) for _, t, y in train if y]
     plain = [t for _, t, y in train if not y]
     often, rare = Counter(), Counter()
     for words in toxic:
-        often.update(set(words))
+        often.update(set().union(*map(grams, set(words))))
     for text in plain:
-        rare.update(set(bare(text)))
+        rare.update(set().union(*map(grams, set(words_of(text)))))
     peculiar = {
-        w for w, n in often.items()
-        if len(w) >= 3 and n >= min(seen, max(2, len(toxic) // 20))
-        and n / len(toxic) >= ratio * (rare[w] + 0.5) / max(len(plain), 1)
+        g for g, n in often.items()
+        if n >= min(seen, max(2, len(toxic) // 20))
+        and n / len(toxic) >= ratio * (rare[g] + 0.5) / max(len(plain), 1)
     }
-    evidence = [(" " + " ".join(w for w in words if w in peculiar)).encode() for words in toxic]
+    evidence = ["".join(peculiar_part(w, peculiar) for w in words).encode() for words in toxic]
     ordinary = trained([w for t in plain[:2000] for w in windows(t)], ordinary_bytes, b" ")
     model = Compressors(ordinary, dictionary := trained(evidence, toxic_bytes, b" "))
     labels = [y for _, _, y in check]

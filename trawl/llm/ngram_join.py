@@ -9,9 +9,9 @@ out: there, sets that differ by one element meet too, over the neighbourhoods th
 element gives. All candidates are verified on the whole sets.
 
 Equal sets are one from the start. In every list the members are first set against its hub, the
-member that shares most lists with others; what links to a hub becomes one component, and only
-members of different components are paired after that, since a link inside one changes
-nothing. So a group of copies of any size costs links in proportion to its size.
+member that shares most lists with others, then in a few rounds against members drawn anew; what
+links becomes one component, and only members of different components are paired after that, since
+a link inside one changes nothing. So a group of copies costs few pairs beyond its size.
 """
 
 import numpy as np
@@ -25,6 +25,7 @@ from trawl.session import written
 
 LONG_LIST = 64  # members of other components beyond which a list is left out if possible
 BAND_RATIO = 1.4
+DRAWS = 3  # rounds that set members against a drawn one before all are paired
 
 
 class Bands:
@@ -248,6 +249,14 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return best.select(F.least("id", -F.col("top.hub")).alias("a"), F.greatest("id", -F.col("top.hub")).alias("b")).distinct()
 
 
+def drawn_pairs(open_rows: DataFrame, step) -> DataFrame:
+    """In every list, one drawn member with each member of another component."""
+    draw = F.struct(F.xxhash64(F.lit(step), "sig", "id").alias("draw"), F.col("id").alias("b"), F.col("component").alias("other"))
+    drawn = open_rows.groupBy("sig").agg(F.min(draw).alias("d"))
+    met = open_rows.join(drawn, "sig").filter(F.col("component") != F.col("d.other"))
+    return met.select(F.least("id", "d.b").alias("a"), F.greatest("id", "d.b").alias("b")).distinct()
+
+
 def open_lists(shared: DataFrame) -> DataFrame:
     """The rows of lists with members of several components, and the number of members."""
     several = shared.groupBy("sig", "component").agg(F.count("*").alias("own")).groupBy("sig").agg(
@@ -320,6 +329,11 @@ def ngram_join(
     )
     edges = written(links(hub_pairs(shared), sets, num, den), "links")
     open_rows = open_lists(labelled(shared, components(edges)))
+    for step in range(DRAWS):
+        drawn = links(drawn_pairs(open_rows, step), sets, num, den)
+        edges = written(edges.unionByName(drawn), "links")
+        relabelled = labelled(open_rows.drop("component", "members"), components(edges))
+        open_rows = open_lists(relabelled)
     probes = allocated(open_rows)
     whole = F.lit(0).alias("gone")
     pairs = cross_pairs(probes.filter("not long").select("*", whole), open_rows.select("*", whole))

@@ -26,6 +26,8 @@ from trawl.session import build_session, written
 from trawl.sources import adapters, clients, filings, readers
 from trawl.sources.collection import Collection, ticker_counts
 
+ALL_ROWS = 1 << 30  # a report is shown whole
+
 
 class Workspace:
     def __init__(self, args):
@@ -127,8 +129,8 @@ def chunk(ws):
     chunks = chunking.chunk_filings(filed, ws.settings)
     readers.write_chunks(chunks, ws.path("chunks", f"ticker={ticker}"))
     made = written(chunks, "chunks")
-    chunking.chunk_stats(made, "ticker").show()
-    chunking.chunk_stats(made, "section").show(truncate=False)
+    chunking.chunk_stats(made, "ticker").show(ALL_ROWS)
+    chunking.chunk_stats(made, "section").show(ALL_ROWS, False)
     sizes = made.groupBy("ticker", "filing_date").agg(F.count("*").alias("n"))
     chunking.sample_chunks(made, sizes).show(vertical=True, truncate=False)
 
@@ -162,7 +164,7 @@ def store(ws):
 
 
 def inspect(ws):
-    ticker_counts(ws.collection.read(), ws.settings.tickers).show()
+    ticker_counts(ws.collection.read(), ws.settings.tickers).show(ALL_ROWS)
     ws.collection.peek(1).drop("embedding").show(vertical=True, truncate=140)
 
 
@@ -211,13 +213,13 @@ def evaluate(ws):
     a = ws.args
     s = dataclasses.replace(
         ws.settings,
-        pool=a.candidates or ws.settings.pool,
-        rrf_k=a.rrf_k or ws.settings.rrf_k,
+        pool=ws.settings.pool if a.candidates is None else a.candidates,
+        rrf_k=ws.settings.rrf_k if a.rrf_k is None else a.rrf_k,
         fusion=a.fusion or ws.settings.fusion,
         mmr_lambda=ws.settings.mmr_lambda if a.mmr_lambda is None else a.mmr_lambda,
         rerank_model=model_name(a.reranker),
     )
-    depth = a.depth or s.eval_depth
+    depth = s.eval_depth if a.depth is None else a.depth
     questions, key = golden_set(ws)
     if a.judge_key:
         completed = readers.read_sidecar(ws.spark, ws.path("judge_keys"))
@@ -239,9 +241,9 @@ def evaluate(ws):
     if a.expand:
         base = RewriteRetriever(base, ws.aspects(base, batch, model_name(a.expander or "haiku")))
     scores = written(metrics.evaluate(base.retrieve(batch, depth), questions, key, depth), "scores")
-    metrics.report_lines(scores, depth).orderBy("query_id").show(1000, False)
-    metrics.summary_lines(metrics.aggregate(scores), depth).orderBy("category").show(1000, False)
-    metrics.control_note(scores).show(1000, False)
+    metrics.report_lines(scores, depth).orderBy("query_id").show(ALL_ROWS, False)
+    metrics.summary_lines(metrics.aggregate(scores), depth).orderBy("category").show(ALL_ROWS, False)
+    metrics.control_note(scores).show(ALL_ROWS, False)
 
 
 def judge(ws):
@@ -280,7 +282,7 @@ def judge(ws):
         prompts.select("query_id", "question", "id").join(found, ["question", "id"]), "verdicts"
     )
     rows = written(judging.validate(questions, key, pool, verdicts, s), "validation")
-    judging.validation_lines(rows).orderBy("query_id").show(1000, False)
+    judging.validation_lines(rows).orderBy("query_id").show(ALL_ROWS, False)
     result = judging.verdict(rows, s).first()
     print(json.dumps(result.asDict(), indent=2))
     if not a.build_key:
@@ -290,7 +292,7 @@ def judge(ws):
     completed = judging.complete_key(questions, key, pool, verdicts)
     sidecar = written(judging.sidecar(completed, pool, questions), "sidecar")
     readers.write_sidecar(sidecar, ws.path("judge_keys"), model, s.judge_pool)
-    judging.key_lines(sidecar).orderBy("query_id").show(1000, False)
+    judging.key_lines(sidecar).orderBy("query_id").show(ALL_ROWS, False)
 
 
 def build_parser():

@@ -26,6 +26,8 @@ ITEM_SLICE = rf"(?mdUs)^\s*{ITEM}(?=[A-Z\[]).*?(?=^\s*{ITEM}[A-Z\[]|\z)"
 
 
 def _character(code):
+    """The character of a code point; U+FFFD for surrogates and beyond Unicode."""
+    code = F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(0xFFFD)).otherwise(code)
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
@@ -36,7 +38,7 @@ def decode_entities(text):
     spells out a reference is not decoded twice.
     """
     named = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))]
+        *[F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))]
     )
     found = F.array_except(
         F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)),

@@ -80,7 +80,9 @@ class LexicalIndex:
 
     @classmethod
     def from_text(cls, corpus: DataFrame, settings) -> "LexicalIndex":
-        return cls(corpus.select("id", "ticker", tokens("text").alias("tokens")), settings)
+        """A null text counts as a document without words."""
+        words = tokens(F.coalesce("text", F.lit(""))).alias("tokens")
+        return cls(corpus.select("id", "ticker", words), settings)
 
     def _learn(self, vocabulary):
         """Count n, total length and df of unseen terms in one pass.

@@ -16,11 +16,11 @@ def id_bucket(buckets):
 def upserted(target: DataFrame, source: DataFrame, prune_within=None) -> DataFrame:
     """Target with source rows put in, by id. Rows only the target has stay,
     unless ``prune_within`` names a column (a ticker, say): then those that
-    share its value with a source row go."""
+    share its value with a source row go. A column that one side lacks is null there."""
     kept = target.join(source.select("id"), "id", "left_anti")
     if prune_within:
         kept = kept.join(source.select(prune_within).distinct(), prune_within, "left_anti")
-    return kept.unionByName(source)
+    return kept.unionByName(source, allowMissingColumns=True)
 
 
 class Collection:
@@ -72,7 +72,7 @@ class Collection:
             # only folders that change are read, joined and written again
             stored = self._stored()
             scope = stored.join(broadcast_if_small(touched), folders, "left_semi")
-            rows = upserted(scope.select(*rows.columns), rows)
+            rows = upserted(scope, rows)
         # rebalancing splits a hot folder over several tasks and joins small ones
         (
             rows.hint("rebalance", "ticker", "bucket")

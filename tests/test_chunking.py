@@ -1,4 +1,4 @@
-"""Chunking against a plain reading of its rules, one character string at a time."""
+"""Chunking: worked examples, and properties that hold for any text."""
 
 import random
 
@@ -6,69 +6,7 @@ from trawl.config import Settings
 from trawl.operators.chunking import chunk_filings, chunk_stats
 
 SMALL = Settings(chunk_size=60, chunk_overlap=20, chunk_min_size=15)
-
-
-def pieces(text, size, separators=("\n", ". ", " ")):
-    text = text.strip()
-    if len(text) <= size:
-        return [text] if text else []
-    if not separators:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    found, open_run = [], ""
-    for part in text.split(separators[0]):
-        longer = open_run + separators[0] + part if open_run else part
-        if len(part) > size:
-            found += ([open_run] if open_run else []) + pieces(part, size, separators[1:])
-            open_run = ""
-        elif len(longer) > size:
-            found.append(open_run)
-            open_run = part
-        else:
-            open_run = longer
-    return found + ([open_run] if open_run else [])
-
-
-def lead_in(chunk, n):
-    if len(chunk) <= n:
-        return chunk
-    end = chunk[len(chunk) - n :]
-    for mark in (". ", "? ", "! ", "\n", " "):
-        if mark in end:
-            return end.split(mark, 1)[1]
-    return end
-
-
-def expected(text, s):
-    done, current = [], None
-    for piece in pieces(text, s.chunk_size):
-        if current is None:
-            current = piece
-        elif len(current) + 1 + len(piece) <= s.chunk_size or len(current) < s.chunk_min_size:
-            current = f"{current}\n{piece}"
-        else:
-            done.append(current)
-            seed = lead_in(current, s.chunk_overlap)
-            fits = seed and len(seed) + 1 + len(piece) <= s.chunk_size
-            current = f"{seed}\n{piece}" if fits else piece
-    if current is not None and len(current) >= s.chunk_min_size:
-        done.append(current)
-    return done
-
-
-def spans(text, chunks):
-    cursor, out = 0, []
-    for chunk in chunks:
-        start = next((p for p in (text.find(chunk, cursor), text.find(chunk)) if p >= 0), -1)
-        end = start + len(chunk) if start >= 0 else -1
-        if start < 0:
-            tail = chunk[-80:]
-            at = next((p for p in (text.find(tail, cursor), text.find(tail)) if p >= 0), -1)
-            if at >= 0:
-                end = at + len(tail)
-                start = max(0, end - len(chunk))
-        cursor = start + 1 if start >= 0 else cursor
-        out.append((start, end))
-    return out
+FILING = "ticker string, filing_date string, sections array<struct<section:string,text:string>>"
 
 
 def texts():
@@ -80,25 +18,51 @@ def texts():
     return made
 
 
-def test_chunks_follow_the_rules(spark):
-    cases = texts()
-    filings = spark.createDataFrame(
-        [(f"T{i}", "2026-01-01", [("A", t), ("B", t[: len(t) // 2])]) for i, t in enumerate(cases)],
-        "ticker string, filing_date string, sections array<struct<section:string,text:string>>",
-    )
-    got = {}
+def chunks_of(spark, cases):
+    filings = spark.createDataFrame([(f"T{i}", "2026-01-01", t) for i, t in enumerate(cases)], FILING)
+    found = {f"T{i}": [] for i in range(len(cases))}
     for r in chunk_filings(filings, SMALL).orderBy("chunk_id").collect():
-        got.setdefault(r["ticker"], []).append(
-            (r["chunk_id"], r["section"], r["chunk_index"], r["text"], r["char_start"], r["char_end"])
-        )
-    for i, text in enumerate(cases):
-        want, n = [], 0
+        found[r["ticker"]].append(r)
+    return list(found.values())
+
+
+def test_worked_examples(spark):
+    sentences = "aaaa bbbb cccc dddd. eeee ffff gggg hhhh. iiii jjjj kkkk llll."
+    examples = {
+        "": [],
+        "short": [],
+        "just long enough": ["just long enough"],
+        # no separator: hard cuts; an overlap that does not fit is left out
+        "x" * 200: ["x" * 60] * 3 + ["x" * 20 + "\n" + "x" * 20],
+        # whole sentences, and an overlap that begins at a word
+        sentences: ["aaaa bbbb cccc dddd. eeee ffff gggg hhhh", "eeee ffff gggg hhhh\niiii jjjj kkkk llll."],
+        # a header below the minimum joins what follows, beyond the size
+        "head\n" + "b" * 59: ["head\n" + "b" * 59],
+    }
+    found = chunks_of(spark, [[("A", t)] for t in examples])
+    assert [[r["text"] for r in rows] for rows in found] == list(examples.values())
+
+
+def test_properties_of_any_text(spark):
+    cases = texts()
+    found = chunks_of(spark, [[("A", t), ("B", t[: len(t) // 2])] for t in cases])
+    for i, (text, rows) in enumerate(zip(cases, found)):
+        # numbered through the filing, and from 0 in each section
+        assert [r["chunk_id"] for r in rows] == [f"T{i}-2026-01-01-{n:04d}" for n in range(len(rows))]
         for section, body in (("A", text), ("B", text[: len(text) // 2])):
-            chunks = expected(body, SMALL)
-            for k, (chunk, span) in enumerate(zip(chunks, spans(body, chunks))):
-                want.append((f"T{i}-2026-01-01-{n:04d}", section, k, chunk, *span))
-                n += 1
-        assert got.get(f"T{i}", []) == want, repr(text)
+            own = [r for r in rows if r["section"] == section]
+            assert [r["chunk_index"] for r in own] == list(range(len(own)))
+            assert bool(own) or len(body.strip()) < 60
+            for r in own:
+                chunk = r["text"]
+                assert SMALL.chunk_min_size <= len(chunk) <= SMALL.chunk_size + SMALL.chunk_min_size
+                assert chunk.rsplit("\n", 1)[-1] in body
+                if chunk in body:
+                    assert body[r["char_start"] : r["char_end"]] == chunk
+                elif r["char_start"] >= 0:
+                    assert body[: r["char_end"]].endswith(chunk[-min(80, len(chunk)) :])
+                else:
+                    assert r["char_end"] == -1
 
 
 def test_other_columns_are_carried(spark):

@@ -37,7 +37,7 @@ def edited(seed, copies=40):
 
 
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
-@pytest.mark.parametrize("long_list", [64, 0])
+@pytest.mark.parametrize("long_list", [16, 2, 0])
 def test_join_of_edited_texts(spark, monkeypatch, n, num, den, long_list):
     monkeypatch.setattr(nj, "LONG_LIST", long_list)
     rows = edited(n)
@@ -57,6 +57,24 @@ def test_near_pass_finds_what_hubs_miss(spark, monkeypatch):
     assert found == joined_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_variants_just_under_the_threshold(spark, monkeypatch, n, num, den):
+    """One text with many variants, some of which share edits; all lists are long."""
+    monkeypatch.setattr(nj, "LONG_LIST", 4)
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(120)]
+    edits = [(rng.randrange(120), f"e{i}") for i in range(40)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for at, word in rng.sample(edits, rng.randrange(1, 9)) if i % 3 else [(rng.randrange(120), f"x{i}{j}") for j in range(6)]:
+            copy[at] = word
+        rows.append((i, " ".join(copy)))
+    found = result(nj.ngram_join(spark.createDataFrame(rows, DOCS), n, num, den))
+    assert found == joined_components(rows, n, num, den)
+    assert 1 < len({c for _, c in found.values()}) < 90
+
+
 def test_join_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t"), (None, "x y z"), (5, long), (6, long + " end"), (7, "q"), (7, "q"), (None, None)]

@@ -12,6 +12,11 @@ Equal sets are one from the start. In every list the members are first set again
 member that shares most lists with others, then in a few rounds against members drawn anew; what
 links becomes one component, and only members of different components are paired after that, since
 a link inside one changes nothing. So a group of copies costs few pairs beyond its size.
+
+Lists that stay long hold variants of one text that miss the threshold with each other. Their
+members are seen from a common hub: two sets differ in just those elements in which their
+differences from the hub differ. A set that does not link to the hub is far from it, so a link
+needs differences with much in common, and these are joined by their rarest elements.
 """
 
 import numpy as np
@@ -23,7 +28,7 @@ from trawl.llm.exact_dedup import tree_merge
 from trawl.llm.texts import BASE, mix, shingle_hashes, slices, word_hashes
 from trawl.session import written
 
-LONG_LIST = 64  # members of other components beyond which a list is left out if possible
+LONG_LIST = 16  # members beyond which a list is not paired directly
 BAND_RATIO = 1.4
 DRAWS = 3  # rounds that set members against a drawn one before all are paired
 
@@ -237,8 +242,8 @@ def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def hub_pairs(shared: DataFrame) -> DataFrame:
-    """Each member's pair with the hub that it shares most lists with."""
+def best_hubs(shared: DataFrame) -> DataFrame:
+    """Each member's hub (id, hub): of the hubs of its lists, the one it shares most of them with."""
     lists = shared.groupBy("sig").agg(F.count("*").alias("members"))
     rank = shared.join(lists, "sig").groupBy("id").agg(F.sum("members").alias("degree"))
     ranked = shared.select("sig", "id").join(rank, "id")
@@ -246,7 +251,11 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     hubs = hubs.select("sig", (-F.col("top.hub")).alias("hub"))
     met = shared.join(hubs, "sig").filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("lists"))
     best = met.groupBy("id").agg(F.max(F.struct("lists", (-F.col("hub")).alias("hub"))).alias("top"))
-    return best.select(F.least("id", -F.col("top.hub")).alias("a"), F.greatest("id", -F.col("top.hub")).alias("b")).distinct()
+    return best.select("id", (-F.col("top.hub")).alias("hub"))
+
+
+def hub_pairs(hubs: DataFrame) -> DataFrame:
+    return hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def drawn_pairs(open_rows: DataFrame, step) -> DataFrame:
@@ -327,7 +336,8 @@ def ngram_join(
     sets = written(
         texts.join(wanted, "id", "left_semi").mapInArrow(packed_sets(n), "id long, elements binary"), "sets"
     )
-    edges = written(links(hub_pairs(shared), sets, num, den), "links")
+    hubs = written(best_hubs(shared), "hubs")
+    edges = written(links(hub_pairs(hubs), sets, num, den), "links")
     open_rows = open_lists(labelled(shared, components(edges)))
     for step in range(DRAWS):
         drawn = links(drawn_pairs(open_rows, step), sets, num, den)
@@ -340,8 +350,9 @@ def ngram_join(
     edges = written(edges.unionByName(links(pairs, sets, num, den)), "links")
     short = probes.filter("long").select("id").distinct()
     if not short.isEmpty():
-        near = second_pass(texts, short, components(edges), n, bands)
-        edges = written(edges.unionByName(links(near, sets, num, den)), "links")
+        near, seen = second_pass(texts, short, components(edges), n, bands, hubs, sets)
+        edges = edges.unionByName(links(near, sets, num, den)).unionByName(seen)
+        edges = written(edges, "links")
     found = components(edges)
     return (
         rows.join(found.toDF("keep_id", "component"), "keep_id", "left")
@@ -353,10 +364,93 @@ def ngram_join(
     )
 
 
-def second_pass(texts, short, found, n, bands) -> DataFrame:
-    """Pairs among the sets whose lists are too long, over one-deletion neighbourhoods."""
+def second_pass(texts, short, found, n, bands, hubs, sets):
+    """Pairs among the sets whose lists are too long, over one-deletion neighbourhoods, and the
+    links to hubs met on the way. Lists that are long even here are seen from their hubs."""
     schema = "sig long, id long, tag int, segment int, gone int"
     rows = texts.join(short, "id", "left_semi").mapInArrow(near_signatures(n, bands), schema)
     shared = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(shared_only, schema)
     open_rows = open_lists(labelled(written(shared, "near"), found))
-    return cross_pairs(near_allocated(open_rows), open_rows)
+    probes = written(near_allocated(open_rows), "probes")
+    brief = open_rows.filter(F.col("members") <= LONG_LIST)
+    pairs = cross_pairs(probes, brief)
+    seen = hub_views(open_rows.filter(F.col("members") > LONG_LIST), hubs, sets, bands.num, bands.den)
+    linked = seen.filter("linked").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return pairs.unionByName(view_pairs(seen, bands.num, bands.den)).distinct(), linked.distinct()
+
+
+def differences(num, den):
+    """Every element in which a set differs from its hub, and whether the two link.
+
+    With r = (den - num) / (den + num), sets x and y link if they differ in at most
+    r (|x| + |y|) elements. Seen from a hub h with differences Ex and Ey they have
+    (|Ex| + |Ey| - differing) / 2 of these in common. If x does not link to h, |Ex| > r (|x| + |h|), which
+    leaves more than |Ey| (1 - r) / 2 in common, and if y does not either, more than
+    (|Ex| + r (|h| - |x|)) / 2; never less than |Ex| less the most that x may differ in. So
+    some common one is among the first ``|Ex| - least in common + 1`` of Ex in any order:
+    ``lone`` counts these for partners that do not link to h, ``tied`` for the others.
+    """
+    a, b = den - num, den + num
+
+    def rows(batches):
+        for batch in batches:
+            out = [[] for _ in range(8)]
+            for hub, own, component, x, h in zip(*batch.columns):
+                x, h = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, h))
+                apart = np.setxor1d(x, h, assume_unique=True).view(np.int64)
+                m, n = len(apart), len(x)
+                linked = b * m <= a * (n + len(h))
+                if linked:  # only partners that do not link to the hub matter
+                    lone, tied = m - (m * num // b + 1) + 1, 0
+                else:
+                    far = m - a * (n + den * n // num) // b
+                    tied = m - max(1, far) + 1
+                    lone = m - max(1, far, (b * m + a * (len(h) - n)) // (2 * b) + 1) + 1
+                values = (hub.as_py(), own.as_py(), component.as_py(), n, m, lone, tied)
+                for o, v in zip(out, values):
+                    o.append(np.full(m, v, dtype=np.int64))
+                out[7].append(apart)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(o)) for o in out],
+                    ["hub", "id", "component", "n", "apart", "lone", "tied", "element"],
+                )
+
+    return rows
+
+
+def hub_views(long_rows: DataFrame, hubs, sets, num, den) -> DataFrame:
+    """The differences of each list's members from the hub that most of them have."""
+    home = long_rows.select("sig", "id", "component").join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+    most = home.groupBy("sig", "hub").agg(F.count("*").alias("members")).groupBy("sig").agg(
+        F.max(F.struct("members", (-F.col("hub")).alias("hub"))).alias("top")
+    )
+    of_hub = (
+        home.drop("hub").join(most.select("sig", (-F.col("top.hub")).alias("hub")), "sig")
+        .select("hub", "id", "component").distinct().filter("hub != id")
+    )
+    both = of_hub.join(sets.toDF("id", "x"), "id").join(sets.toDF("hub", "h"), "hub")
+    schema = "hub long, id long, component long, n long, apart long, lone long, tied long, element long"
+    seen = both.select("hub", "id", "component", "x", "h").mapInArrow(differences(num, den), schema)
+    return written(seen.withColumn("linked", F.col("tied") == 0), "views")
+
+
+def view_pairs(seen: DataFrame, num, den) -> DataFrame:
+    """Pairs of different components, not both linked to the hub, that share one of the rarest
+    elements of their differences and can have enough in common after it."""
+    counts = seen.groupBy("hub", "element").agg(F.count("*").alias("held")).filter("held > 1")
+    own = Window.partitionBy("hub", "id")
+    shared = seen.join(counts, ["hub", "element"])
+    rare = F.row_number().over(own.orderBy("held", "element"))
+    # elements that no other set has come first and need no row
+    ranked = shared.withColumn("place", F.col("apart") - F.count("*").over(own) + rare)
+    ranked = written(ranked.filter(F.col("place") <= F.greatest("lone", "tied")), "ranked")
+    one = ranked.filter("not linked")
+    two = ranked.filter("place <= lone").select(
+        "hub", "element", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "apart", "place", "linked")]
+    )
+    most = 1 + F.least(F.col("apart") - F.col("place"), F.col("apart2") - F.col("place2"))
+    enough = (F.col("apart") + F.col("apart2") - 2 * most) * (den + num) <= (F.col("n") + F.col("n2")) * (den - num)
+    once = F.col("linked2") & (F.col("place") <= F.col("tied")) | ~F.col("linked2") & (F.col("place") <= F.col("lone")) & (F.col("id") < F.col("id2"))
+    met = one.join(two, ["hub", "element"]).filter((F.col("component") != F.col("component2")) & once & enough)
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()

@@ -198,3 +198,10 @@ def test_stream_follows_chunk_files(spark, tmp_path):
 
 def test_written_tables_lie_in_the_shared_folder(spark):
     assert rows(written(spark.range(3), "t").selectExpr("sum(id)")) == [(3,)]
+
+
+def test_upsert_keeps_one_row_per_id(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "store"), buckets=2)
+    rows = [("B-1", "B", "s", "t2"), ("B-1", "B", "s", "t1"), ("B-2", "B", "s", "t3")]
+    assert store.upsert(spark.createDataFrame(rows, "id string, ticker string, section string, text string")) == 2
+    assert sorted(r["text"] for r in store.read().collect()) == ["t1", "t3"]

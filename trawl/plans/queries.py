@@ -84,31 +84,37 @@ def sentence_rewrites(spark, d, limit) -> DataFrame:
     return adapters.each_rewrite(recorded, "recorded")
 
 
+def containing(docs, items) -> DataFrame:
+    """query_id, id of the documents whose text contains an item's."""
+    inner = F.slice(tx.tokens("text"), 2, F.greatest(F.size(tx.tokens("text")) - 2, F.lit(0)))
+    longest = F.aggregate(inner, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    items = items.select(F.col("item_id").alias("query_id"), "text", longest.alias("anchor"))
+    words = docs.select("id", F.explode_outer(F.array_distinct(tx.tokens("text"))).alias("anchor"))
+    pairs = words.join(items.filter("anchor != ''").select("query_id", "anchor"), "anchor")
+    short = items.filter("anchor = '' and text != ''").select("query_id", F.substring("text", 1, 3).alias("anchor"))
+    if not short.isEmpty():
+        at = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+        part = lambda n: F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+        starts = [part(n) for n in (1, 2, 3)]
+        grams = docs.select("id", F.explode_outer(F.array_distinct(F.concat(*starts))).alias("anchor"))
+        pairs = pairs.unionByName(grams.join(short, "anchor").select(*pairs.columns))
+    found = pairs.select("query_id", "id").distinct().join(items.select("query_id", "text"), "query_id")
+    return (
+        found.join(docs.select("id", F.col("text").alias("body")), "id")
+        .filter(F.contains("body", "text")).select("query_id", "id").distinct()
+    )
+
+
 def golden(spark, d):
     """(questions, key): documents that contain a question word for word.
 
     Found by an equi-join on the question's longest inner token, which such a
-    document must hold, and then checked in full. Written down, as an answer
+    document must hold, or for a question without inner tokens on its first characters;
+    ids alone are joined, and texts are then checked in full. Written down, as an answer
     key is a table that every score reads.
     """
     items = table(spark, d, "benchmark")
-    inner = F.slice(tx.tokens("text"), 2, F.greatest(F.size(tx.tokens("text")) - 2, F.lit(0)))
-    anchored = items.withColumn(
-        "anchor",
-        F.aggregate(
-            inner, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)
-        ),
-    )
-    docs = corpus(spark, d).select(
-        "id", F.col("text").alias("body"),
-        F.explode_outer(F.array_distinct(tx.tokens("text"))).alias("anchor"),
-    )
-    key = (
-        docs.join(anchored, "anchor")
-        .filter(F.contains("body", "text"))
-        .select(F.col("item_id").alias("query_id"), "id")
-    )
-    key = written(key, "key")
+    key = written(containing(corpus(spark, d), items), "key")
     counted = key.groupBy("query_id").agg(F.count("*").alias("hits"))
     questions = items.select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")

@@ -1,7 +1,7 @@
 """The stored collection: one Parquet dataset of chunks and their vectors."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from trawl.operators.questions import broadcast_if_small
 from trawl.session import written
@@ -57,9 +57,11 @@ class Collection:
     def upsert(self, chunks: DataFrame, embedder=None) -> int:
         """Write chunks (id, ticker, text, ...), embedding them if asked to.
 
-        Returns the number of rows written. Ids must not repeat in one call,
-        and an id stays with its ticker, which chunk ids begin with.
+        Returns the number of rows written. Of rows that repeat an id in one call the
+        first by ticker and text stays. An id stays with its ticker, which chunk ids begin with.
         """
+        first = F.row_number().over(Window.partitionBy("id").orderBy("ticker", "text"))
+        chunks = chunks.withColumn("first of id", first).filter("`first of id` = 1").drop("first of id")
         if embedder:
             chunks = chunks.withColumn("embedding", embedder.documents(F.col("text")))
         rows = chunks.withColumn("bucket", id_bucket(self.buckets))

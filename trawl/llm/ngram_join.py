@@ -9,7 +9,7 @@ out: there, sets that differ by one element meet too, over the neighbourhoods th
 element gives. All candidates are verified on the whole sets.
 
 Equal sets are one from the start. In every list the members are first set against its hub, the
-member that shares most lists with others, then in a few rounds against members drawn anew; what
+member that shares most lists with others, then against a drawn member; what
 links becomes one component, and only members of different components are paired after that, since
 a link inside one changes nothing. So a group of copies costs few pairs beyond its size.
 
@@ -30,7 +30,7 @@ from trawl.session import written
 
 LONG_LIST = 16  # members beyond which a list is not paired directly
 BAND_RATIO = 1.4
-DRAWS = 3  # rounds that set members against a drawn one before all are paired
+DRAWS = 1  # rounds that set members against a drawn one before all are paired
 
 
 class Bands:

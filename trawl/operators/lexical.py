@@ -1,7 +1,5 @@
 """Inverted index and Okapi BM25 over a corpus of (id, ticker, tokens)."""
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -167,7 +165,8 @@ class LexicalIndex:
                 T.StructField("tie", T.IntegerType()),
             ]
         )
-        blocks = questions.blocks({"terms": lexical_tokens(F.col("question"))}, BLOCK)
+        terms = lexical_tokens(F.col("question"))
+        blocks = questions.blocks({"terms": terms, "hashes": F.transform(terms, lambda t: F.xxhash64(t))}, BLOCK)
         hits = questions.union([self._scan(block, k, schema) for block in blocks], schema)
         order = [F.desc("bm25_score"), F.asc("tie"), F.asc("id")]
         return merge_top_k(hits, k, order, "bm25_rank").select(
@@ -178,7 +177,11 @@ class LexicalIndex:
         query_ids = np.array(block["query_id"].to_pylist(), dtype=object)
         companies = block["company"].to_pylist()
         asked = block["terms"].to_pylist()
-        vocabulary = sorted({t for row in asked for t in row})
+        known = dict(zip((t for row in asked for t in row), (h for row in block["hashes"].to_pylist() for h in row)))
+        vocabulary = sorted(known, key=known.get)
+        hashes = np.array([known[t] for t in vocabulary], dtype=np.int64)
+        if len(set(known.values())) < len(known):
+            raise ValueError("two terms of a question block have one hash; search them in two batches")
         self._learn(vocabulary)
         number = {t: i for i, t in enumerate(vocabulary)}
         asked = [[number[t] for t in row] for row in asked]
@@ -189,16 +192,12 @@ class LexicalIndex:
         only = wanted if companies and None not in companies else None
 
         def score(pdf):
-            row, term, tf = [], [], []
-            for i, words in enumerate(pdf["words"]):
-                counts = Counter(words.split())
-                asked_here = counts.keys() & number.keys()
-                row += [i] * len(asked_here)
-                term += [number[t] for t in asked_here]
-                tf += [counts[t] for t in asked_here]
-            row, term, tf = np.array(row, dtype=int), np.array(term, dtype=int), np.array(tf, dtype=float)
-            by_term = np.argsort(term, kind="stable")
-            row, term, tf = row[by_term], term[by_term], tf[by_term]
+            row = np.repeat(np.arange(len(pdf)), [len(h) for h in pdf["hashes"]])
+            term = np.searchsorted(hashes, np.concatenate([hashes[:0], *pdf["hashes"]]))
+            times = np.concatenate([np.zeros(0), *pdf["tfs"]]) if "tfs" in pdf else np.ones(len(row))
+            cell, at = np.unique(term * len(pdf) + row, return_inverse=True)
+            tf = np.bincount(at, weights=times, minlength=len(cell))
+            term, row = np.divmod(cell, len(pdf))
             length = pdf["dl"].to_numpy(dtype=float)[row] / avgdl
             gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
             edge = np.searchsorted(term, np.arange(len(vocabulary) + 1))
@@ -230,16 +229,21 @@ class LexicalIndex:
                 }
             )
 
-        return self._words(vocabulary, only).mapInPandas(scan, schema)
+        return self._asked_terms(vocabulary, only).mapInPandas(scan, schema)
+
+    def _asked_terms(self, vocabulary, tickers):
+        """id, ticker, dl and the hashes of a document's occurrences of the vocabulary.
 
-    def _words(self, vocabulary, tickers):
-        """id, ticker, dl, words of every document that may hold a hit."""
+        Words are looked up here, in a set that the optimizer makes of the list; a list in
+        SQL text (words are letters and digits) spares an expression object per word.
+        """
         docs = self.docs.filter(F.col("ticker").isin(tickers)) if tickers else self.docs
+        listed = ", ".join(f"'{t}'" for t in vocabulary) or "null"
         return docs.select(
             "id",
             "ticker",
             F.size("tokens").alias("dl"),
-            F.array_join("tokens", " ").alias("words"),
+            F.expr(f"transform(filter(tokens, t -> t in ({listed})), t -> xxhash64(t))").alias("hashes"),
         )
 
 
@@ -300,17 +304,19 @@ class StoredIndex(LexicalIndex):
             found = dict(tuple(r) for r in self.terms.join(asked, "term").collect())
             self._df.update({t: found.get(t, 0) for t in unseen})
 
-    def _words(self, vocabulary, tickers):
-        asked = _term_table(self.docs.sparkSession, vocabulary)
+    def _asked_terms(self, vocabulary, tickers):
+        """As above, with each term once and its count in ``tfs``."""
+        asked =_term_table(self.docs.sparkSession, vocabulary)
         asked = asked.withColumn("bucket", _bucket(self.buckets))
         # at most as many rows as the index has buckets
         touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
         rows = self.docs.filter(F.col("bucket").isin(touched))
         if tickers:
             rows = rows.filter(F.col("ticker").isin(tickers))
-        occurrences = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf"))))
+        held = F.collect_list(F.struct(F.xxhash64("term").alias("hash"), "tf"))
         return (
             rows.join(asked, ["bucket", "term"])
             .groupBy("id", "ticker", "dl")
-            .agg(F.array_join(occurrences, " ").alias("words"))
+            .agg(held.alias("held"))
+            .select("id", "ticker", "dl", F.col("held.hash").alias("hashes"), F.col("held.tf").alias("tfs"))
         )

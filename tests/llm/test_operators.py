@@ -249,6 +249,21 @@ def test_top_k(documents, texts, spark, shard_bytes):
         assert {d for s, d in got[q] if s > got[q][-1][0] + 1e-6} == {d for s, d in hits if -s > got[q][-1][0] + 1e-6}
 
 
+@pytest.mark.parametrize("shard_bytes", [1, 20_000, 1 << 25])
+def test_top_k_of_whole_texts(documents, texts, spark, shard_bytes):
+    """By default every term of the query's text counts."""
+    asked = documents.filter("doc_id % 3 = 0").selectExpr("doc_id as query_id", "text")
+    got = defaultdict(list)
+    for r in top_k(documents, asked, 10, shard_bytes=shard_bytes).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["doc_id"]))
+    want = scored(texts, [i for i, _ in texts if i % 3 == 0], 10, 1 << 40)
+    assert set(got) == {q for q, hits in want.items() if hits} and len(got) > 50
+    for q, hits in want.items():
+        assert np.allclose([s for s, _ in got[q]], [-s for s, _ in hits], atol=1e-8)
+        edge = -hits[-1][0] + 1e-6 if hits else 0
+        assert {d for s, d in got[q] if s > edge} == {d for s, d in hits if -s > edge}
+
+
 def test_top_k_odd_rows(odd):
     asked = odd.selectExpr("doc_id as query_id", "text")
     rows = [(r["query_id"], r["rank"], r["doc_id"]) for r in top_k(odd, asked).collect()]

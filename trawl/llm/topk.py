@@ -1,12 +1,13 @@
 """Exact top-k search by BM25 with block-max WAND over shards.
 
 Document frequencies, the number of documents and their mean length are counted over all
-documents first, so that every shard scores alike. Queries go out in blocks of bounded size. A
+documents first, so that every shard scores alike. Queries go out in blocks of bounded size, by their
+number and by that of their terms. A
 task takes its documents shard by shard, builds the shard's inverted index for the terms
 that the block asks for, with the best score of every block of postings, and keeps each query's k
 best. A query visits blocks of documents by falling upper bounds, the sum of its terms'
-block maxima, and stops at the first that cannot reach its k-th best: no hit is lost. Shards'
-lists are merged in two levels.
+block maxima, and stops at the first that cannot reach its k-th best, those of earlier shards
+of the task counted: no hit is lost. Shards' lists are merged in two levels.
 """
 
 import numpy as np
@@ -20,6 +21,7 @@ K1, B = 1.2, 0.75
 BLOCK = 64  # neighbouring documents that share an upper bound
 SHARD_BYTES = 32 << 20
 BLOCK_QUERIES = 20_000
+BLOCK_TERMS = 4_000_000  # terms of all queries of a block
 
 _MARKS = np.ones(256, dtype=bool)
 _MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -72,6 +74,12 @@ def query_terms(batches):
             )
 
 
+def ranges(starts, ends):
+    """The numbers of every range, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Shard:
     """The inverted index of one shard for a sorted vocabulary."""
 
@@ -121,29 +129,34 @@ class Shard:
         self.blocks = -(-self.n // BLOCK)
         return self
 
-    def search(self, terms, k):
-        """(scores, documents) of the k best; all that tie with the last are seen."""
-        spans = [(self.term_blocks[t], self.term_blocks[t + 1]) for t in terms]
-        at = np.concatenate([np.arange(a, b) for a, b in spans])
+    def search(self, terms, k, least=0.0):
+        """(scores, documents) of the k best of at least ``least``; all that tie with the last are seen."""
+        at = ranges(self.term_blocks[terms], self.term_blocks[terms + 1])
         if not len(at):
             return None
         bound = np.bincount(self.block_of[at], self.block_max[at], self.blocks)
         visit = np.argsort(-bound, kind="stable")
         visit = visit[: np.count_nonzero(bound)]
-        at = at[np.argsort(self.block_of[at], kind="stable")]  # a block's terms stay in order
-        first = np.searchsorted(self.block_of[at], np.arange(self.blocks + 1))
+        turn = np.empty(self.blocks, dtype=np.int64)  # when a block is visited
+        turn[visit] = np.arange(len(visit))
+        of = turn[self.block_of[at]]
+        at = at[np.argsort(of, kind="stable")]  # a block's terms stay in order
+        first = np.append(0, np.cumsum(np.bincount(of, minlength=len(visit))))
         docs, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while done < len(visit):
             if len(scores) >= k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                if bound[visit[done]] < least - 1e-9:
-                    break
+                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+            if bound[visit[done]] < least - 1e-8:
+                break
             now = visit[done : done + step]
-            parts = [at[first[b] : first[b + 1]] for b in now]
-            post = np.concatenate([np.arange(self.block_at[i], self.block_end[i]) for p in parts for i in p])
-            own, place = np.unique(self.docs[post], return_inverse=True)
-            docs = np.concatenate([docs, own])
-            scores = np.concatenate([scores, np.bincount(place, self.scores[post])])
+            blocks = at[first[done] : first[done + len(now)]]
+            post = ranges(self.block_at[blocks], self.block_end[blocks])
+            own = turn[self.docs[post] // BLOCK] - done
+            place = own * BLOCK + self.docs[post] % BLOCK
+            summed = np.bincount(place, self.scores[post], len(now) * BLOCK)
+            hit = np.flatnonzero(summed)
+            docs = np.concatenate([docs, now[hit // BLOCK] * BLOCK + hit % BLOCK])
+            scores = np.concatenate([scores, summed[hit]])
             done, step = done + step, step * 2
         return scores, docs
 
@@ -161,7 +174,8 @@ def search_shards(queries, terms, starts, vocabulary, weights, mean, k, shard_by
         def finish(shard):
             shard.close()
             for q in range(len(queries)):
-                found = shard.search(terms[starts[q] : starts[q + 1]], k)
+                full = q in held and len(held[q][0]) == k
+                found = shard.search(terms[starts[q] : starts[q + 1]], k, held[q][0][-1] if full else 0.0)
                 if found is None:
                     continue
                 scores, docs = found
@@ -191,14 +205,14 @@ def search_shards(queries, terms, starts, vocabulary, weights, mean, k, shard_by
 
 
 def top_k(
-    docs: DataFrame, queries: DataFrame, k=10, terms_per_query=12, id_col="doc_id", text_col="text",
+    docs: DataFrame, queries: DataFrame, k=10, terms_per_query=None, id_col="doc_id", text_col="text",
     shard_bytes=SHARD_BYTES, block_queries=BLOCK_QUERIES,
 ) -> DataFrame:
     """query_id, rank, doc_id, score of each query's k best of ``docs``.
 
-    ``queries`` (query_id, text): a query asks for the ``terms_per_query`` terms of its whole text
-    with the highest product of frequency there and rarity in ``docs``, ties by hash. Only
-    documents with at least one of them are hits. Scores are compared at nine decimals,
+    ``queries`` (query_id, text): a query asks for every distinct term of its whole text, or, if
+    ``terms_per_query`` is given, for so many of them with the highest product of frequency there and
+    rarity in ``docs``, ties by hash. Only documents with at least one of them are hits. Scores are compared at nine decimals,
     ties go to the smaller id. Null texts are empty; rows without id count in the statistics but are no hits or
     queries; rows that repeat an id are hits of their own, and queries that do are one query. Empty tables give an empty result.
     """
@@ -215,19 +229,18 @@ def top_k(
     n, mean = total["docs"], total["words"] / total["docs"]
     asked = queries.filter("query_id is not null").select(F.col("query_id").cast("long"), "text")
     rarity = F.log(1 + (n - F.col("docs") + 0.5) / (F.col("docs") + 0.5))
-    telling = Window.partitionBy("query").orderBy(F.desc(F.round(F.col("times") * F.col("idf"), 9)), "term")
-    chosen = written(
+    chosen = (
         asked.mapInArrow(query_terms, "query long, term long, times long")
         .groupBy("query", "term").agg(F.sum("times").alias("times"))
         .join(stats.filter("term is not null"), "term")
         .withColumn("idf", rarity)
-        .withColumn("place", F.row_number().over(telling))
-        .filter(F.col("place") <= terms_per_query)
-        .select("query", "term", "idf"),
-        "queries",
     )
-    count = chosen.select("query").distinct().count()
-    blocks = max(1, -(-count // block_queries))
+    if terms_per_query is not None:
+        telling = Window.partitionBy("query").orderBy(F.desc(F.round(F.col("times") * F.col("idf"), 9)), "term")
+        chosen = chosen.withColumn("place", F.row_number().over(telling)).filter(F.col("place") <= terms_per_query)
+    chosen = written(chosen.select("query", "term", "idf"), "queries")
+    size = chosen.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("terms")).first()
+    blocks = max(1, -(-size["queries"] // block_queries), -(-size["terms"] // BLOCK_TERMS))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
     found = None
     for i in range(blocks):
@@ -237,6 +250,7 @@ def top_k(
         query, term, idf = (c.to_numpy() for c in block.columns)
         vocabulary, first, place = np.unique(term, return_index=True, return_inverse=True)
         names, starts = np.unique(query, return_index=True)
+        place = place.astype(np.int32)
         part = texts.mapInArrow(
             search_shards(names, place, np.append(starts, len(query)), vocabulary, idf[first], mean, k, shard_bytes),
             "query long, hits array<struct<score: double, doc: long>>",

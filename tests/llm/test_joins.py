@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import joined_components, lines_removed
 
@@ -86,6 +88,49 @@ def test_join_odd_rows(spark):
     assert nj.ngram_join(df.limit(0)).count() == 0
 
 
+def small_pairs(seed, num, den, most=20):
+    """Texts two by two: a set of 1 to ``most`` words and one as far from it as links allow."""
+    rng = random.Random(seed)
+    word = lambda: f"s{seed}x{rng.randrange(1 << 40)}"
+    texts = []
+    for size in range(1, most + 1):
+        for gone in range(size):
+            for more in range(size + 1):
+                if den * (size - gone) >= num * (size + more):
+                    x = [word() for _ in range(size)]
+                    texts += [" ".join(x), " ".join(x[gone:] + [word() for _ in range(more)])]
+    return texts
+
+
+@pytest.mark.parametrize("num,den,seeds", [(90, 100, 30), (80, 100, 15), (50, 100, 1)])
+def test_small_similar_sets_share_a_signature(num, den, seeds):
+    bands = nj.Bands(num, den)
+    for seed in range(seeds):
+        texts = small_pairs(seed, num, den)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+        whole, near = [[set() for _ in texts] for _ in range(2)]
+        for part in nj.unpacked(nj.exact_signatures(1, bands)([batch])):
+            for sig, i in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                whole[i].add(sig)
+        for part in nj.near_signatures(1, bands)([batch]):
+            for sig, i, gone in zip(*(part.column(k).to_pylist() for k in (0, 1, 4))):
+                near[i].add((sig, gone))
+        for a in range(0, len(texts), 2):
+            assert whole[a] & whole[a + 1]
+            assert any((s, g) in near[a] for s, lost in near[a + 1] for g in range(2 - lost))
+
+
+@pytest.mark.parametrize("long_list", [16, 0])
+def test_join_of_small_sets(spark, monkeypatch, long_list):
+    """Also where all elements of two sets fall into one segment."""
+    monkeypatch.setattr(nj, "LONG_LIST", long_list)
+    words = np.random.default_rng(5).integers(0, 1 << 40, (1500, 9))
+    texts = [" ".join(f"w{w}" for w in row[:m]) for row in words for m in (8, 9)]
+    rows = list(enumerate(texts))
+    found = result(nj.ngram_join(spark.createDataFrame(rows, DOCS), 5, 80, 100))
+    assert found == joined_components(rows, 5, 80, 100)
+
+
 def with_runs(seed):
     rng = random.Random(seed)
     line = lambda w: " ".join("v" + str(rng.randrange(50)) for _ in range(w))

@@ -1,8 +1,10 @@
 """Similarity join of word n-gram sets, exact, by partitioning the universe.
 
 Sets are banded by size. In a band two sets that are similar enough differ in at most H
-elements, so if the universe is hashed into more than H segments, at least one segment of
-theirs is the same (pigeonhole). Every set indexes its part of each segment. A set
+elements, so if a set has elements in more than H segments of the universe, at least one of these
+parts is the same in both (pigeonhole). Every set indexes its part of each segment. A set with elements in too
+few of them is also indexed by its first elements in an order of all, as many as it can differ in
+and one more: if both sets are such, the first element that they share is among these of both. A set
 with more segments than it needs may leave out as many as the surplus: those whose lists are
 longest, and empty ones. Where too many lists are long, a segment that counts twice makes up for one left
 out: there, sets that differ by one element meet too, over the neighbourhoods that deleting one
@@ -55,6 +57,16 @@ class Bands:
         small = self.lows[band + 1] - 1
         return (self.den - self.num) * (small + self.den * small // self.num) // (self.den + self.num)
 
+    def apart(self, n, band):
+        """The most elements in which a set of ``n`` can differ from a similar one, the smaller in the band."""
+        most = (self.den - self.num) * (n + self.den * n // self.num) // (self.den + self.num)
+        return min(self.differing(band), most)
+
+    def first_elements(self, n):
+        """So many of a set's ``n`` elements, in an order of all, that a similar set has one of them
+        among its own first ones: all but those that must be shared, and one."""
+        return n - -(-self.num * n // self.den) + 1
+
     def segments(self, band):
         least = self.differing(band) + 1
         return least + max(1, least // 8)
@@ -76,6 +88,12 @@ def signature(band, segment, total):
     return mix(mix(tag + np.uint64(BASE)) ^ total).view(np.int64)
 
 
+def element_signatures(shingles, band, count):
+    """Of the ``count`` first elements of a set, in the order of their hashes."""
+    order = np.sort(mix(shingles ^ np.uint64(BASE)))[:count]
+    return mix(order + np.uint64((band + 1) * BASE & ((1 << 64) - 1))).view(np.int64)
+
+
 def each_set(batches, n, text=1):
     """(row in batch, shingles) of every text of every batch, and the batch."""
     for batch in batches:
@@ -108,7 +126,7 @@ def packed(parts, kind):
 
 def exact_signatures(n, bands):
     """Per set, packed: segment signatures, and tags that say how many of them may be left
-    out (``spare``, above) and their band (in the low byte)."""
+    out (``spare``, above; below 0 if there are too few) and their band (in the low byte)."""
 
     def rows(batches):
         for batch, sets in each_set(batches, n):
@@ -118,8 +136,10 @@ def exact_signatures(n, bands):
                 for band in bands.of(len(s)) if len(s) else ():
                     segment, total, *_ = segmented(s, band, bands.segments(band))
                     sig.append(signature(band, segment, total))
+                    if len(segment) <= bands.apart(len(s), band):
+                        sig.append(element_signatures(s, band, bands.first_elements(len(s))))
                     spare = len(segment) - bands.differing(band) - 1
-                    tag.append(np.full(len(segment), spare * 256 + band))
+                    tag.append(np.full(sum(map(len, sig)) - sum(map(len, tag)), spare * 256 + band))
                 sigs.append(np.concatenate(sig))
                 tags.append(np.concatenate(tag))
             yield pa.RecordBatch.from_arrays(
@@ -145,8 +165,9 @@ def unpacked(batches):
 def near_signatures(n, bands):
     """All segments of a set whole (gone 0) and with one element deleted (gone 1).
 
-    A segment met in either form allows one difference and so counts twice; of these
-    segments ``spare`` may be left out.
+    A segment met in either form allows one difference and so counts twice, but one of a single
+    element, which the other set may lack, once; of these
+    segments ``spare`` may be left out. If they count too little, first elements follow as segments of their own.
     """
 
     def rows(batches):
@@ -155,15 +176,20 @@ def near_signatures(n, bands):
             out = ([], [], [], [], [])
             for row, s in sets:
                 for band in bands.of(len(s)) if len(s) else ():
-                    segment, total, _, values, of = segmented(s, band, bands.segments(band))
+                    count = bands.segments(band)
+                    segment, total, sizes, values, of = segmented(s, band, count)
                     whole = signature(band, segment, total)
                     less = signature(band, segment[of], total[of] - values)
-                    m = len(whole) + len(less)
-                    out[0].append(np.concatenate([whole, less]))
+                    weight = int(np.minimum(sizes, 2).sum())
+                    first = np.zeros(0, np.int64)
+                    if weight <= bands.apart(len(s), band):
+                        first = element_signatures(s, band, bands.first_elements(len(s)))
+                    m = len(whole) + len(less) + len(first)
+                    out[0].append(np.concatenate([whole, less, first]))
                     out[1].append(np.full(m, ids[row]))
-                    out[2].append(np.full(m, max(0, 2 * len(whole) - bands.differing(band) - 1) // 2 * 256 + band))
-                    out[3].append(np.concatenate([segment, segment[of]]))
-                    out[4].append(np.repeat([0, 1], [len(whole), len(less)]))
+                    out[2].append(np.full(m, max(0, weight - bands.differing(band) - 1) // 2 * 256 + band))
+                    out[3].append(np.concatenate([segment, segment[of], count + np.arange(len(first))]))
+                    out[4].append(np.repeat([0, 1, 0], [len(whole), len(less), len(first)]))
             if out[0]:
                 kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
                 columns = [pa.array(np.concatenate(v).astype(k)) for v, k in zip(out, kinds)]

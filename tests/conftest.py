@@ -21,7 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return SMALL
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]

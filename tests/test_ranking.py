@@ -18,7 +18,7 @@ from trawl.operators.lexical import LexicalIndex, StoredIndex, write_index
 from trawl.operators.questions import Questions
 from trawl.session import scratch_path
 
-from conftest import rows
+from support import rows
 
 S = Settings()
 

@@ -9,7 +9,7 @@ from trawl.plans.retrievers import (
     CompanyDecomposition, DenseRetriever, HybridRetriever, MMRRetriever, RerankRetriever,
     RewriteRetriever, compare_arms, full_stack, token_overlap,
 )
-from conftest import rows
+from support import rows
 
 S = Settings()
 E = HashedTokens(32)

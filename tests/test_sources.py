@@ -13,7 +13,7 @@ from trawl.session import scratch_path, written
 from trawl.sources import adapters, filings, readers
 from trawl.sources.collection import Collection, ticker_counts, upserted
 from trawl.streaming.ingest import follow_chunks
-from conftest import rows
+from support import rows
 
 CHUNK = "id string, ticker string, text string"
 

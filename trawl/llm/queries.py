@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from trawl.llm import packing, toxicity as tox
 from trawl.llm.exact_dedup import exact_dedup
+from trawl.llm.fill_middle import fill_in_middle, restore
 from trawl.llm.line_dedup import dedup_lines
 from trawl.llm.mixing import mix_sources
 from trawl.llm.ngram_join import ngram_join
 from trawl.llm.secrets import scan_secrets
 from trawl.llm.sharding import shard_rows
+from trawl.llm.spelling import spelling_variants, word_counts
 from trawl.llm.topk import top_k
 from trawl.llm.url_filters import filter_urls, host
 from trawl.sources.tables import table
@@ -122,3 +124,17 @@ def op9_pack_sequences(spark, d):
 @query
 def op10_mix_sources(spark, d):
     return mix_sources(table(spark, d, "documents"), quality_weights(spark, d))
+
+
+@query
+def op11_spelling_variants(spark, d):
+    return spelling_variants(word_counts(table(spark, d, "documents")))
+
+
+@query
+def op12_fill_in_middle(spark, d):
+    rows = restore(fill_in_middle(table(spark, d, "documents")))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )

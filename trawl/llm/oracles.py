@@ -10,7 +10,66 @@ ASSIGN = (
     r"""|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 )
 
+WORDS = "[A-Za-z\u00C0-\u00FF]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE shifts AS (  -- the table of crc32, eight shifts of each byte
+  SELECT b, 0 AS k, b::BIGINT AS c FROM range(256) r(b)
+  UNION ALL
+  SELECT b, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM shifts WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM shifts WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{WORDS}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+steps AS (
+  SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes, 0 AS i, 4294967295 AS c FROM counted
+  UNION ALL
+  SELECT doc_id, run, n, bytes, i + 1,
+         xor(c >> 8, t[(xor(c, ('0x' || bytes[2 * i + 1:2 * i + 2])::BIGINT) & 255) + 1])
+  FROM steps, crc WHERE 2 * i < length(bytes)),
+hashed AS (SELECT run, n, xor(c, 4294967295) AS h FROM steps WHERE 2 * i = length(bytes)),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+holes AS (
+  SELECT word, k, word[1:k] || word[k + 2:] AS hole FROM words, range(length(word)) r(k)),
+pairs AS (
+  SELECT x.word, y.word AS other FROM holes x JOIN holes y ON x.hole = y.hole AND x.k = y.k AND x.word <> y.word
+  UNION SELECT word, hole FROM holes JOIN (SELECT word AS hole FROM words) USING (hole)
+  UNION SELECT hole, word FROM holes JOIN (SELECT word AS hole FROM words) USING (hole)),
+near AS (
+  SELECT p.word, count(*) AS n_near, min(struct_pack(less := -w.n, other := p.other)) AS best
+  FROM pairs p JOIN words w ON w.word = p.other GROUP BY p.word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n THEN best.other END AS form,
+         CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+walk AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.at AS root FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""",
+    "op12_fill_in_middle": """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (
+  SELECT doc_id, text, n, ('0x' || d[1:8])::BIGINT % (n + 1) AS a, ('0x' || d[9:16])::BIGINT % (n + 1) AS b,
+         ('0x' || d[17:24])::BIGINT % 100 AS p, ('0x' || d[25:32])::BIGINT % 100 AS s FROM drawn),
+cut AS (
+  SELECT *, least(a, b) AS low, greatest(a, b) AS high,
+         CASE WHEN n = 0 OR p >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+              WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (
+  SELECT *, '<P>' || text[1:low] AS p_part, '<M>' || text[low + 1:high] AS m_part, '<S>' || text[high + 1:] AS s_part FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN p_part || s_part || m_part ELSE s_part || p_part || m_part END)
+         AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts""",
     "op6_exact_dedup": f"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{RUN}', ' ', 'g')) AS text_sha256 FROM documents)

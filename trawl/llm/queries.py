@@ -8,6 +8,7 @@ from trawl.llm.fill_middle import fill_in_middle, restore
 from trawl.llm.line_dedup import dedup_lines
 from trawl.llm.mixing import mix_sources
 from trawl.llm.ngram_join import ngram_join
+from trawl.llm.pii import find_personal_data, fit as fit_field
 from trawl.llm.secrets import scan_secrets
 from trawl.llm.sharding import shard_rows
 from trawl.llm.spelling import spelling_variants, word_counts
@@ -138,3 +139,9 @@ def op12_fill_in_middle(spark, d):
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@query
+def op13_personal_data(spark, d):
+    docs = table(spark, d, "documents")
+    return find_personal_data(docs, fit_field(docs))

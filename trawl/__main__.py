@@ -16,7 +16,6 @@ from trawl.functions import text as tx
 from trawl.functions.vectors import HashedTokens, SentenceModel, dot, l2_norm
 from trawl.operators import chunking, grounding, judge as judging, metrics
 from trawl.operators.fusion import pool_union
-from trawl.operators.lexical import LexicalIndex
 from trawl.operators.questions import Questions, broadcast_if_small
 from trawl.plans.retrievers import (
     CompanyDecomposition, DenseRetriever, HybridRetriever, MMRRetriever, RerankRetriever,
@@ -24,7 +23,8 @@ from trawl.plans.retrievers import (
 )
 from trawl.session import build_session, written
 from trawl.sources import adapters, clients, filings, readers
-from trawl.sources.collection import Collection, ticker_counts
+from trawl.sources.collection import Collection, with_total
+from trawl.sources.segments import SegmentedIndex
 
 ALL_ROWS = 1 << 30  # a report is shown whole
 
@@ -52,7 +52,10 @@ class Workspace:
         return DenseRetriever.over(self.collection, self.embedder)
 
     def index(self):
-        return LexicalIndex.from_text(self.collection.read(), self.settings)
+        """The stored index, brought up to what the collection holds."""
+        index = SegmentedIndex(self.collection, f"{self.root}/index", self.settings)
+        index.refresh()
+        return index
 
     def rewrites(self, name, model, prompts, limit, call):
         """Recorded rewrites, completed by calls under --live."""
@@ -156,6 +159,8 @@ def embed(ws):
 def build(ws, ticker=None):
     path = ws.path("chunks", f"ticker={ticker}") if ticker else ws.path("chunks", "*")
     n = ws.collection.upsert(readers.read_chunks(ws.spark, path), ws.embedder)
+    ws.collection.compact()
+    ws.index()
     print(f"upserted {n} chunks; the collection holds {ws.collection.count()}")
 
 
@@ -164,7 +169,7 @@ def store(ws):
 
 
 def inspect(ws):
-    ticker_counts(ws.collection.read(), ws.settings.tickers).show(ALL_ROWS)
+    with_total(ws.collection.counts(), ws.settings.tickers).show(ALL_ROWS)
     ws.collection.peek(1).drop("embedding").show(vertical=True, truncate=140)
 
 

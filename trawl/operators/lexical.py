@@ -12,8 +12,8 @@ from trawl.operators.ranking import Best, merge_top_k, slices, wrong_company
 BLOCK = 1024
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """One row per (document, term): id, ticker, dl, term, tf. No shuffle.
+def postings(docs: DataFrame, *carried) -> DataFrame:
+    """One row per (document, term): id, ticker, dl, term, tf and the ``carried`` columns. No shuffle.
 
     Equal tokens sit together once sorted, so a run's length is its count.
     Arrays are unrolled with the outer generators throughout: the plain ones
@@ -25,9 +25,9 @@ def postings(docs: DataFrame) -> DataFrame:
     )
     run_end = F.coalesce(F.get(starts, F.col("pos") + 1), F.size(tok))
     return (
-        docs.select("id", "ticker", F.sort_array("tokens").alias("tok"))
+        docs.select("id", "ticker", *carried, F.sort_array("tokens").alias("tok"))
         .withColumn("starts", F.array_compact(run_start))
-        .select("id", "ticker", "tok", "starts", F.posexplode_outer("starts").alias("pos", "at"))
+        .select("id", "ticker", *carried, "tok", "starts", F.posexplode_outer("starts").alias("pos", "at"))
         .filter(F.col("at").isNotNull())
         .select(
             "id",
@@ -35,6 +35,7 @@ def postings(docs: DataFrame) -> DataFrame:
             F.size("tok").alias("dl"),
             F.get("tok", F.col("at")).alias("term"),
             (run_end - F.col("at")).alias("tf"),
+            *carried,
         )
     )
 
@@ -91,7 +92,7 @@ class LexicalIndex:
         unseen = sorted(set(vocabulary) - self._df.keys())
         if self._n is not None and not unseen:
             return
-        wanted = _term_table(self.docs.sparkSession, ["", *unseen])
+        wanted = term_table(self.docs.sparkSession, ["", *unseen])
         rows = (
             self.docs.select(
                 F.size("tokens").alias("dl"),
@@ -247,7 +248,7 @@ class LexicalIndex:
         )
 
 
-def _term_table(spark, terms):
+def term_table(spark, terms):
     return spark.createDataFrame(
         pa.table({"term": list(terms)}, schema=pa.schema([("term", pa.string())]))
     )
@@ -256,7 +257,7 @@ def _term_table(spark, terms):
 TERM_BUCKETS = 64
 
 
-def _bucket(buckets):
+def term_bucket(buckets):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
@@ -270,7 +271,7 @@ def write_index(docs: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None
     """
     (
         postings(docs)
-        .withColumn("bucket", _bucket(buckets))
+        .withColumn("bucket", term_bucket(buckets))
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite")
@@ -300,14 +301,14 @@ class StoredIndex(LexicalIndex):
     def _learn(self, vocabulary):
         unseen = sorted(set(vocabulary) - self._df.keys())
         if unseen:
-            asked = _term_table(self.docs.sparkSession, unseen)
+            asked = term_table(self.docs.sparkSession, unseen)
             found = dict(tuple(r) for r in self.terms.join(asked, "term").collect())
             self._df.update({t: found.get(t, 0) for t in unseen})
 
     def _asked_terms(self, vocabulary, tickers):
         """As above, with each term once and its count in ``tfs``."""
-        asked =_term_table(self.docs.sparkSession, vocabulary)
-        asked = asked.withColumn("bucket", _bucket(self.buckets))
+        asked =term_table(self.docs.sparkSession, vocabulary)
+        asked = asked.withColumn("bucket", term_bucket(self.buckets))
         # at most as many rows as the index has buckets
         touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
         rows = self.docs.filter(F.col("bucket").isin(touched))

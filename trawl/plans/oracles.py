@@ -718,3 +718,28 @@ WHERE chunk_index = least(1, n - 1) OR chunk_index = n // 2""",
   SELECT chunk_id AS id, substr(filing, 1, 2) AS ticker, {toks('chunk')} AS toks FROM chunks),
 {asked()}, {POSTINGS.replace('FROM docs', 'FROM cdocs')}, {bm25('asked', 'b', 10)} {BM25_ROWS} b""",
 }
+
+HALF = "text[1:length(text) // 2]"
+GROWN = f"""docs AS (
+  SELECT *, {toks('text')} AS toks FROM (
+    SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN 'XX' ELSE upper(lang) END AS ticker, source AS section,
+           CASE WHEN source = 'src1' THEN {HALF} ELSE text END AS text FROM documents))"""
+DIGESTS = "SELECT id, ticker, section, md5(text) AS digest FROM "
+
+ORACLES |= {
+    "upsert_new_ticker": f"{stem(GROWN)} {DIGESTS} docs",
+    "compacted_collection": f"""WITH {DOCS}
+SELECT id, ticker, section, md5(CASE WHEN ticker = 'EN' THEN text || '!' ELSE text END) AS digest
+FROM docs WHERE ticker <> 'EN' OR length(text) >= 1000""",
+    "stored_counts": f"""{stem(GROWN)}
+SELECT t AS ticker, count(id) AS chunks FROM (SELECT unnest(['DE', 'EN', 'ES', 'FR', 'IT', 'XX']) AS t)
+LEFT JOIN docs ON ticker = t GROUP BY t UNION ALL SELECT '(all)', count(*) FROM docs""",
+    "collection_version": f"{stem(DOCS)} {DIGESTS} docs",
+    "segmented_term_stats": f"{stem(GROWN, POSTINGS)} SELECT t AS term, df FROM dfs",
+    "segmented_bm25": stem(GROWN, POSTINGS, asked(), bm25("asked", "b", 10)) + BM25_ROWS + "b",
+    "segmented_bm25_filtered": stem(GROWN, POSTINGS, asked("'XX'"), bm25("asked", "b", 10)) + BM25_ROWS + "b",
+    "stored_dense_topk": ORACLES["dense_topk"],
+    "stored_hybrid_gated": ORACLES["hybrid_gated"],
+    "replayed_batches": f"""WITH {DOCS} SELECT id, ticker, section,
+  md5(CASE WHEN section = 'src3' THEN text || '?' ELSE text END) AS digest FROM docs""",
+}

@@ -24,9 +24,10 @@ from trawl.plans.retrievers import (
 )
 from trawl.session import scratch_path, written
 from trawl.sources import adapters, filings, readers
-from trawl.sources.collection import Collection, ticker_counts, upserted
+from trawl.sources.collection import Collection, ticker_counts, upserted, with_total
+from trawl.sources.segments import SegmentedIndex
 from trawl.sources.tables import spread, table
-from trawl.streaming.ingest import follow_chunks
+from trawl.streaming.ingest import follow_chunks, take_batch
 
 COMPANIES = {"DE": ("der",), "EN": ("the",), "ES": ("los",), "FR": ("les",)}
 SETTINGS = Settings(tickers=("DE", "EN", "ES", "FR", "IT"), companies=COMPANIES)
@@ -905,3 +906,123 @@ def streamed_collection(spark, d):
     store_path = scratch_path(spark, "progress")
     follow_chunks(spark, inbox, store, store_path).awaitTermination()
     return store.read().select("id", "section", F.md5("text").alias("digest"))
+
+
+# --- a collection that grows, and its index ------------------------------------------
+
+
+def grown_collection(spark, d, embedder=None) -> Collection:
+    """All documents; then those of one source cut to their first half; then the French ones under a new
+    ticker. Compacted after each step, so that parts of all ages are there."""
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
+    docs = corpus(spark, d)
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    store.upsert(docs, embedder)
+    store.upsert(docs.filter("section = 'src1'").withColumn("text", half), embedder)
+    store.compact(fan=2)
+    french = store.read("FR").drop("embedding", "bucket").withColumn("ticker", F.lit("XX"))
+    store.upsert(french, embedder)
+    store.compact(fan=3)
+    return store
+
+
+def segmented(spark, store, settings=SETTINGS) -> SegmentedIndex:
+    index = SegmentedIndex(store, scratch_path(spark, "segments"), settings, buckets=8)
+    index.refresh()
+    return index
+
+
+@query
+def upsert_new_ticker(spark, d):
+    """Ids that come in under another ticker are nowhere else."""
+    rows = grown_collection(spark, d).read()
+    return rows.select("id", "ticker", "section", F.md5("text").alias("digest"))
+
+
+@query
+def compacted_collection(spark, d):
+    """Language by language in parts; the English ones again, of them only the longer half; then
+    merged and the old versions dropped."""
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
+    docs = corpus(spark, d)
+    for language in ("DE", "EN", "ES", "FR"):
+        store.upsert(docs.filter(F.col("ticker") == language))
+    longer = docs.filter("ticker = 'EN' and length(text) >= 1000").withColumn("text", F.concat("text", F.lit("!")))
+    store.upsert(longer, prune=True)
+    store.compact(fan=2)
+    store.vacuum()
+    return store.read().select("id", "ticker", "section", F.md5("text").alias("digest"))
+
+
+@query
+def stored_counts(spark, d):
+    """Counts of the grown collection, from its log."""
+    counts = with_total(grown_collection(spark, d).counts(), (*SETTINGS.tickers, "XX"))
+    return counts.select(F.coalesce("ticker", F.lit("(all)")).alias("ticker"), "chunks")
+
+
+@query
+def collection_version(spark, d):
+    """The first version, read after two more upserts."""
+    rows = grown_collection(spark, d).read(version=1)
+    return rows.select("id", "ticker", "section", F.md5("text").alias("digest"))
+
+
+@query
+def segmented_term_stats(spark, d):
+    """df of all terms after an index followed three upserts and the merging of its parts, one by one."""
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
+    index = SegmentedIndex(store, scratch_path(spark, "segments"), SETTINGS, buckets=8)
+    docs = corpus(spark, d)
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    french = docs.filter("ticker = 'FR'").withColumn("ticker", F.lit("XX"))
+    french = french.withColumn("text", F.when(F.col("section") == "src1", half).otherwise(F.col("text")))
+    for rows in (docs, docs.filter("section = 'src1'").withColumn("text", half), french):
+        store.upsert(rows)
+        index.refresh()
+        store.compact(fan=2)
+        index.refresh()
+    return index.frequencies()
+
+
+@query
+def segmented_bm25(spark, d):
+    store = grown_collection(spark, d)
+    return bm25_rows(segmented(spark, store).search(asked(spark, d), 10))
+
+
+@query
+def segmented_bm25_filtered(spark, d):
+    store = grown_collection(spark, d)
+    return bm25_rows(segmented(spark, store).search(asked(spark, d, "xx"), 10))
+
+
+@query
+def stored_dense_topk(spark, d):
+    """Nearest vectors, read back from a collection."""
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
+    store.upsert(vector_store(spark, d))
+    return dense_rows(dense_top_k(store.read(), centroids(spark, d, False), 10, centroid()))
+
+
+@query
+def stored_hybrid_gated(spark, d):
+    """Gated hybrid over stored vectors and a stored index."""
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=4)
+    store.upsert(corpus(spark, d), EMBEDDER)
+    r = HybridRetriever(
+        DenseRetriever.over(store, EMBEDDER), segmented(spark, store, STRICT), STRICT,
+        fusion="interleave", gated=True,
+    )
+    return fused_rows(r.retrieve(asked(spark, d), 10))
+
+
+@query
+def replayed_batches(spark, d):
+    """Two batches of a stream, the first one sent again after the second."""
+    store = Collection(spark, scratch_path(spark, "collection"), buckets=2)
+    docs = corpus(spark, d).withColumn("file_time", F.lit(1)).withColumn("file_name", F.col("section"))
+    later = docs.filter("section = 'src3'").withColumn("text", F.concat("text", F.lit("?")))
+    for rows, number in ((docs, 0), (later, 1), (docs, 0)):
+        take_batch(store, rows, number, "stream")
+    return store.read().select("id", "ticker", "section", F.md5("text").alias("digest"))

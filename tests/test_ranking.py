@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from trawl.config import Settings
 from trawl.functions.vectors import HashedTokens
 from trawl.functions.text import QUERY_STOP_WORDS
-from trawl.operators import dense as dense_ops, lexical, questions as question_ops
+from trawl.operators import dense as dense_ops, impact, lexical, questions as question_ops
 from trawl.operators.dense import dense_top_k, mmr_select
 from trawl.operators.fusion import fuse, join_lanes, pool_union, round_robin
+from trawl.operators.impact import ImpactIndex, write_impact_index
 from trawl.operators.lexical import LexicalIndex, StoredIndex, write_index
 from trawl.operators.questions import Questions
 from trawl.session import scratch_path
@@ -116,6 +117,34 @@ def test_stored_index_gives_the_same(spark, corpus, batch):
     assert rows(StoredIndex(spark, path, S).search(none, 7)) == []
 
 
+@pytest.mark.parametrize("block, few", [(4, True), (1000, False)])
+def test_postings_by_impact_give_the_same(spark, corpus, batch, monkeypatch, block, few):
+    _, df = corpus
+    index = LexicalIndex.from_text(df, S)
+    path = scratch_path(spark, "impact")
+    write_impact_index(index.docs, path, S, buckets=3, block=block)
+    if not few:
+        monkeypatch.setattr(impact, "BROADCAST_ROWS", 0)
+    stored = ImpactIndex(spark, path)
+    for k in (1, 7):
+        assert sorted(rows(stored.search(batch, k))) == sorted(rows(index.search(batch, k)))
+    none = Questions.of(batch.df.filter("query_id = 7"))
+    assert rows(stored.search(none, 7)) == []
+
+
+def test_few_postings_of_common_words_are_scored(spark):
+    """One rare word decides; the common ones' lists stay shut, and only its documents are completed."""
+    texts = [f"alpha beta gamma w{i}" for i in range(400)]
+    for i in (3, 5, 8):
+        texts[i] = "alpha beta gamma needle"
+    docs = spark.createDataFrame([(i, "A", t) for i, t in enumerate(texts)], "id long, ticker string, text string")
+    path = scratch_path(spark, "impact")
+    write_impact_index(LexicalIndex.from_text(docs, S).docs, path, S, buckets=2)
+    asked = Questions.of(spark.createDataFrame([(1, "alpha beta gamma needle")], "query_id int, question string"))
+    assert [r["id"] for r in ImpactIndex(spark, path).search(asked, 3).orderBy("bm25_rank").collect()] == [3, 5, 8]
+    assert ImpactIndex(spark, path).share_scored(asked, 3) == pytest.approx(12 / 1203)
+
+
 def test_postings_count_terms(spark):
     docs = spark.createDataFrame([(1, "A", ["b", "a", "b"]), (2, "A", [])], "id int, ticker string, tokens array<string>")
     assert sorted(rows(lexical.postings(docs))) == [(1, "A", 3, "a", 1), (1, "A", 3, "b", 2)]

@@ -738,6 +738,8 @@ LEFT JOIN docs ON ticker = t GROUP BY t UNION ALL SELECT '(all)', count(*) FROM
     "segmented_term_stats": f"{stem(GROWN, POSTINGS)} SELECT t AS term, df FROM dfs",
     "segmented_bm25": stem(GROWN, POSTINGS, asked(), bm25("asked", "b", 10)) + BM25_ROWS + "b",
     "segmented_bm25_filtered": stem(GROWN, POSTINGS, asked("'XX'"), bm25("asked", "b", 10)) + BM25_ROWS + "b",
+    "stored_bm25_pruned": ORACLES["bm25_topk"],
+    "stored_bm25_pruned_filtered": ORACLES["bm25_filtered"],
     "stored_dense_topk": ORACLES["dense_topk"],
     "stored_hybrid_gated": ORACLES["hybrid_gated"],
     "replayed_batches": f"""WITH {DOCS} SELECT id, ticker, section,

@@ -16,6 +16,7 @@ from trawl.operators import chunking, grounding, judge, lexical, metrics
 from trawl.operators.dense import dense_top_k, mmr_select
 from trawl.operators.fusion import pool_union, round_robin
 from trawl.operators.html import html_to_text, item_slices, target_sections
+from trawl.operators.impact import ImpactIndex, write_impact_index
 from trawl.operators.lexical import LexicalIndex
 from trawl.operators.questions import Questions
 from trawl.plans.retrievers import (
@@ -338,6 +339,20 @@ def bm25_stored_index(spark, d):
     return bm25_rows(lexical.StoredIndex(spark, path, SETTINGS).search(asked(spark, d), 10))
 
 
+@query
+def stored_bm25_pruned(spark, d):
+    path = scratch_path(spark, "impact")
+    write_impact_index(index(spark, d).docs, path, SETTINGS, buckets=8)
+    return bm25_rows(ImpactIndex(spark, path).search(asked(spark, d), 10))
+
+
+@query
+def stored_bm25_pruned_filtered(spark, d):
+    path = scratch_path(spark, "impact")
+    write_impact_index(index(spark, d).docs, path, SETTINGS, buckets=8)
+    return bm25_rows(ImpactIndex(spark, path).search(asked(spark, d, "de"), 10))
+
+
 @query
 def chunk_bm25(spark, d):
     """Chunk, index and search in one go."""

@@ -167,19 +167,18 @@ def by_company(questions, out):
     FROM {out}_m))"""
 
 
-def sentences(x, limit):
+def sentences(x):
     parts = f"string_split_regex({x}, '[.\\n]')"
-    clean = f"list_filter(list_transform({parts}, lambda p: {strip('p')}), lambda p: p <> '')"
-    return f"({clean})[1:{limit}]"
+    return f"list_filter(list_transform({parts}, lambda p: {strip('p')}), lambda p: p <> '')"
 
 
-def by_sentence(questions, out, limit, filtered=False):
+def by_sentence(questions, out, filtered=False):
     company = (
         f"coalesce(company, CASE WHEN len({mentioned('s')}) = 1 THEN ({mentioned('s')})[1] END)"
         if filtered
         else "company"
     )
-    return f"""{out}_p AS (SELECT *, {sentences('question', limit)} AS parts FROM {questions}),
+    return f"""{out}_p AS (SELECT *, {sentences('question')} AS parts FROM {questions}),
 {out} AS (
   SELECT q, coalesce(s, '') AS sub_key, coalesce(s, question) AS question, {company} AS company
   FROM (SELECT qid AS q, question, company,
@@ -403,14 +402,14 @@ JOIN pool p USING (qid, id)""",
 {merged('lists', 'm', 20)} SELECT qid AS query_id, r AS rank, id FROM m""",
     "company_decomposition": f"""{SPLIT}, {by_company('asked', 'subs')}, {numbered('subs', 'nq')},
 {dense('nq', 'dn', 10)}, {lists('dn', 'nq', 'li')}, {merged('li', 'm', 10)} {DENSE_ROWS} m""",
-    "query_split": f"""{SPLIT}, {by_sentence('asked', 'subs', 5)}, {numbered('subs', 'nq')},
+    "query_split": f"""{SPLIT}, {by_sentence('asked', 'subs')}, {numbered('subs', 'nq')},
 {dense('nq', 'dn', 10)}, {lists('dn', 'nq', 'li')}, {merged('li', 'm', 10)} {DENSE_ROWS} m""",
-    "query_split_filtered": f"""{SPLIT}, {by_sentence('asked', 'subs', 5, True)}, {numbered('subs', 'nq')},
+    "query_split_filtered": f"""{SPLIT}, {by_sentence('asked', 'subs', True)}, {numbered('subs', 'nq')},
 {dense('nq', 'dn', 10)}, {lists('dn', 'nq', 'li')}, {merged('li', 'm', 10)} {DENSE_ROWS} m""",
-    "aspect_expansion": f"""{SPLIT}, {by_sentence('asked', 'subs', 6)}, {numbered('subs', 'nq')},
+    "aspect_expansion": f"""{SPLIT}, {by_sentence('asked', 'subs')}, {numbered('subs', 'nq')},
 {dense('nq', 'dn', 50)}, {bm25('nq', 'sp', 50)}, {fused('dn', 'sp', 'f', 10, 'interleave')},
 {lists('f', 'nq', 'li')}, {merged('li', 'm', 10)} {DENSE_ROWS} m""",
-    "full_stack_topk": f"""{SPLIT}, {by_sentence('asked', 'subs', 6)}, {numbered('subs', 'outer_q')},
+    "full_stack_topk": f"""{SPLIT}, {by_sentence('asked', 'subs')}, {numbered('subs', 'outer_q')},
 {by_company('outer_q', 'parts')}, {numbered('parts', 'inner_q')}, {gated('inner_q', 'f', 5)},
 {lists('f', 'inner_q', 'inner_l')}, {merged('inner_l', 'inner_m', 5)},
 {lists('inner_m', 'outer_q', 'outer_l')}, {merged('outer_l', 'm', 5)} {DENSE_ROWS} m""",
@@ -438,7 +437,7 @@ SELECT qid AS query_id, id, pool_rank FROM pool""",
     "eval_hybrid_means": f"{HYBRID10}, {GOLDEN}, {scores('ranked', 'sc')} {means('sc')}",
     "negative_controls": f"""{DENSE10}, {GOLDEN}, {scores('ranked', 'sc')}
 SELECT qid AS query_id, round(top1, 6) AS top1, CASE WHEN top1 < 0.58
-  THEN 'noise floor — corpus has no good match (expected)' ELSE 'WARN: unexpectedly high' END AS note
+  THEN 'weak best match, as it should be' ELSE 'strong best match for a control: look into it' END AS note
 FROM sc WHERE control""",
     "eval_report": f"""{DENSE10}, {GOLDEN}, {scores('ranked', 'sc')},
 mm AS ({means('sc')})
@@ -448,19 +447,18 @@ SELECT qid::VARCHAR AS label, CASE WHEN control
     || lpad(CASE WHEN reliable THEN printf('%.2f', recall5) ELSE printf('(%.2f)', recall5) END, 6, ' ') || ' '
     || lpad(CASE WHEN reliable THEN printf('%.2f', recallp) ELSE printf('(%.2f)', recallp) END, 7, ' ')
     || printf(' %5.2f  ', mrr) || substr(question, 1, 46)
-    || CASE WHEN NOT reliable THEN '  (representative labels — recall not aggregated)'
-            WHEN recall5 = 1 THEN '' ELSE '  ← misses in top-5: ' || missed5 END END AS line
+    || CASE WHEN NOT reliable THEN '  [sampled key, left out of mean recall]'
+            WHEN recall5 = 1 THEN '' ELSE '  [not among the first 5: ' || missed5 || ']' END END AS line
 FROM sc
 UNION ALL
-SELECT coalesce(category, 'overall'), printf('%-16s recall@5=', coalesce(category, 'overall'))
-  || coalesce(printf('%.2f', recall5), '—') || ' recall@10=' || coalesce(printf('%.2f', recall_pool), '—')
-  || printf(' (n_rel=%d)  ·  hit@5=', n_rel) || printf('%.2f', hit5) || ' MRR=' || printf('%.2f', mrr)
-  || printf(' (n=%d)', n) FROM mm""",
+SELECT coalesce(category, 'overall'), printf('%-16s %d whole keys: recall of 5 ', coalesce(category, 'overall'), n_rel)
+  || coalesce(printf('%.2f', recall5), '—') || ', of 10 ' || coalesce(printf('%.2f', recall_pool), '—')
+  || printf('; %d questions: hits ', n) || printf('%.2f', hit5) || ', first place (MRR) ' || printf('%.2f', mrr) FROM mm""",
     "relevant_placements": f"""{SPLIT}, {dense('asked', 'dn', 50)}, {GOLDEN},
 sc AS (
   SELECT dn.qid, id, row_number() OVER (PARTITION BY dn.qid ORDER BY {same_tokens()} DESC, dn.r) AS rr
   FROM dn JOIN asked USING (qid) JOIN docs USING (id))
-SELECT qid AS query_id, id, coalesce('rank ' || rr, 'NOT IN POOL') AS placement
+SELECT qid AS query_id, id, coalesce('rank ' || rr, 'outside the pool') AS placement
 FROM key LEFT JOIN sc USING (qid, id)""",
     "judge_validation": f"""{JUDGED} SELECT qid AS query_id, category, n_right, n_recovered, missed,
   n_neg, false_accepts FROM validated""",
@@ -550,7 +548,6 @@ PROMPTS = f"""{evidence(5)}, pr AS (
 CITED = r"list_distinct(regexp_extract_all(answer, '\[([A-Za-z0-9][A-Za-z0-9\-_.]*)\]', 1))"
 KNOWN = f"array_to_string(list_sort(list_filter({CITED}, lambda c: list_contains(provided, c))), ',')"
 UNKNOWN = KNOWN.replace("lambda c: list", "lambda c: NOT list")
-QUOTES = "repeat('\"', 3)"
 
 ORACLES |= {
     "prompt_assembly": f"""{PROMPTS}
@@ -573,9 +570,9 @@ SELECT qid AS query_id, 'Question: ' || any_value(question) || chr(10) || chr(10
   || string_agg('[' || id || '] ' || {excerpt('text', 320)}, chr(10) ORDER BY r) AS turn
 FROM ev JOIN asked USING (qid) GROUP BY qid""",
     "judge_prompts": f"""{evidence(5)}
-SELECT qid AS query_id, id, 'Question: ' || question || chr(10) || chr(10) || 'This excerpt is from ' || ticker
-  || chr(39) || 's 10-K filing.' || chr(10) || 'Excerpt:' || chr(10) || {QUOTES} || chr(10)
-  || substr(text, 1, 1200) || chr(10) || {QUOTES} AS turn
+SELECT qid AS query_id, id, 'Annual report of ' || ticker || ', a passage:' || chr(10) || '---' || chr(10)
+  || substr(text, 1, 1200) || chr(10) || '---' || chr(10)
+  || 'Does the passage help to answer what was asked?' || chr(10) || question AS turn
 FROM ev JOIN asked USING (qid)""",
 }
 

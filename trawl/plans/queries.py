@@ -75,13 +75,13 @@ def index(spark, d, settings=SETTINGS) -> LexicalIndex:
     return LexicalIndex.from_text(corpus(spark, d), settings)
 
 
-def sentence_rewrites(spark, d, limit) -> DataFrame:
-    """Each question's sentences, standing in for recorded rewrites."""
+def sentence_rewrites(spark, d) -> DataFrame:
+    """All of each question's sentences, standing in for recorded rewrites."""
     parts = F.transform(F.split("text", r"[.\n]"), tx.strip)
     recorded = table(spark, d, "benchmark").select(
         F.lit("recorded").alias("model"),
         F.col("text").alias("question"),
-        adapters.clean_list(parts, limit).alias("rewrites"),
+        adapters.clean_list(parts).alias("rewrites"),
     )
     return adapters.each_rewrite(recorded, "recorded")
 
@@ -519,13 +519,13 @@ def company_decomposition(spark, d):
 
 @query
 def query_split(spark, d):
-    r = RewriteRetriever(dense(spark, d), sentence_rewrites(spark, d, SETTINGS.max_subqueries))
+    r = RewriteRetriever(dense(spark, d), sentence_rewrites(spark, d))
     return dense_rows(r.retrieve(asked(spark, d), 10))
 
 
 @query
 def query_split_filtered(spark, d):
-    splits = sentence_rewrites(spark, d, SETTINGS.max_subqueries)
+    splits = sentence_rewrites(spark, d)
     r = RewriteRetriever(dense(spark, d), splits, companies=COMPANIES)
     return dense_rows(r.retrieve(asked(spark, d), 10))
 
@@ -533,13 +533,13 @@ def query_split_filtered(spark, d):
 @query
 def aspect_expansion(spark, d):
     hybrid = HybridRetriever(dense(spark, d), index(spark, d), SETTINGS, fusion="interleave")
-    r = RewriteRetriever(hybrid, sentence_rewrites(spark, d, SETTINGS.max_aspects))
+    r = RewriteRetriever(hybrid, sentence_rewrites(spark, d))
     return dense_rows(r.retrieve(asked(spark, d), 10))
 
 
 @query
 def full_stack_topk(spark, d):
-    aspects = sentence_rewrites(spark, d, SETTINGS.max_aspects)
+    aspects = sentence_rewrites(spark, d)
     r = full_stack(dense(spark, d), index(spark, d, STRICT), aspects, STRICT, COMPANIES)
     return dense_rows(r.retrieve(asked(spark, d), 5))
 

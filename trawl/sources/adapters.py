@@ -39,10 +39,10 @@ def call_for_each(prompts: DataFrame, call, result_type: str) -> DataFrame:
     return prompts.mapInPandas(run, schema)
 
 
-def clean_list(result, limit: int):
-    """Trimmed, blanks dropped, and no more than the rewriter is asked for."""
+def clean_list(result, limit=None):
+    """Trimmed, blanks dropped, and, of a model's answer, no more than it is asked for."""
     trimmed = F.filter(F.transform(result, lambda r: F.trim(r)), lambda r: r != "")
-    return F.slice(trimmed, 1, limit)
+    return F.slice(trimmed, 1, limit) if limit else trimmed
 
 
 def each_rewrite(recorded: DataFrame, model: str) -> DataFrame:

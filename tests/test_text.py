@@ -2,8 +2,12 @@ from pyspark.sql import functions as F
 
 from trawl.config import Settings, model_name
 from trawl.functions import text as tx
+from trawl.functions.automaton import automaton, found_in, named_companies, whole_words
 from trawl.functions.vectors import dot, l2_norm
 
+import random
+import re
+
 import pytest
 
 
@@ -40,11 +44,35 @@ def test_preview_cuts_at_a_late_space_only(spark):
 
 def test_companies_are_whole_words_in_any_case(spark):
     names = Settings().companies
-    found = tx.mentioned_companies(F.col("q"), names)
+    found = named_companies(F.col("q"), names)
     assert value(spark, found, q="compare tesla's and NVDA") == ["NVDA", "TSLA"]
     assert value(spark, found, q="pineapple, Teslas") == []
 
 
+def test_names_follow_word_boundaries(spark):
+    """Against one regular expression for each name."""
+    names = ["a", "ab", "a b", "ab.", ".a", "é", "ab-a", "_a", "a1"]
+    draw = random.Random(2)
+    texts = ["".join(draw.choice("aab é.-_1") for _ in range(draw.randint(0, 12))) for _ in range(300)]
+    machine = automaton((n, n) for n in names)
+    for text in texts:
+        want = {n for n in names if re.search(rf"\b{re.escape(n)}\b", text)}
+        assert whole_words(machine, text) == want, text
+        got = sorted((a, b) for a, b, _ in found_in(machine, text))
+        assert got == sorted((i, i + len(n)) for n in names for i in range(len(text)) if text.startswith(n, i))
+
+
+def test_the_plan_does_not_grow_with_the_names(spark):
+    frame = spark.createDataFrame([("c7 and Name 4242, nAME 1",), (None,)], ["q"])
+    sizes = []
+    for n in (3, 10_000):
+        companies = {f"C{i}": (f"name {i}",) for i in range(n)}
+        found = frame.select(named_companies(F.col("q"), companies).alias("n"))
+        sizes.append(len(found._jdf.queryExecution().toString()))
+    assert [r["n"] for r in found.collect()] == [["C1", "C4242", "C7"], []]
+    assert abs(sizes[1] - sizes[0]) < 100
+
+
 def test_filter_mismatch(spark):
     named = F.split("q", " ")
     assert value(spark, tx.filter_mismatch(F.lit("tsla"), named), q="AAPL NVDA") is True

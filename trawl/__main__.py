@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.config import REFUSAL_TEXT, Settings, model_name
 from trawl.functions import text as tx
+from trawl.functions.automaton import named_companies
 from trawl.functions.vectors import HashedTokens, SentenceModel, dot, l2_norm
 from trawl.operators import chunking, grounding, judge as judging, metrics
 from trawl.operators.fusion import pool_union
@@ -176,7 +177,7 @@ def inspect(ws):
 def retrieve(ws):
     a, s = ws.args, ws.settings
     questions = ws.questions(a.question, a.company)
-    named = tx.mentioned_companies(F.col("question"), s.companies)
+    named = named_companies(F.col("question"), s.companies)
     if questions.df.filter(tx.filter_mismatch(F.col("company"), named)).count():
         print(f"WARNING: the question names other companies than {a.company}; the filter wins.")
     if a.compare:

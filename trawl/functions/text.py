@@ -83,21 +83,6 @@ def id_company(chunk_id, companies):
     return name
 
 
-def mentioned_companies(question, companies):
-    """Sorted tickers whose symbol or a name appears as a whole word."""
-
-    def whole_word(word, text):
-        return text.rlike(rf"(?U)\b\Q{word}\E\b")
-
-    hits = []
-    for ticker in sorted(companies):
-        found = whole_word(ticker.upper(), F.upper(question))
-        for name in companies[ticker]:
-            found = found | whole_word(name.lower(), F.lower(question))
-        hits.append(F.when(found, F.lit(ticker)))
-    return F.array_compact(F.array(*hits))
-
-
 def filter_mismatch(company, mentioned):
     """A filter is set, companies are named, and the filter is not among them."""
     return F.coalesce(

@@ -732,6 +732,15 @@ FROM docs WHERE ticker <> 'EN' OR length(text) >= 1000""",
 SELECT t AS ticker, count(id) AS chunks FROM (SELECT unnest(['DE', 'EN', 'ES', 'FR', 'IT', 'XX']) AS t)
 LEFT JOIN docs ON ticker = t GROUP BY t UNION ALL SELECT '(all)', count(*) FROM docs""",
     "collection_version": f"{stem(DOCS)} {DIGESTS} docs",
+    "many_companies": r"""WITH names AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS w FROM benchmark),
+said AS (
+  SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS w FROM conversations)
+SELECT c.conv_id, c.turn, coalesce(n.companies, '') AS companies FROM conversations c LEFT JOIN (
+  SELECT conv_id, turn, string_agg(upper(w), ',' ORDER BY upper(w)) AS companies FROM said JOIN names USING (w) GROUP BY ALL) n
+ON n.conv_id = c.conv_id AND n.turn = c.turn""",
+    "short_question_key": """SELECT item_id AS query_id, doc_id AS id
+FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 9))""",
     "segmented_term_stats": f"{stem(GROWN, POSTINGS)} SELECT t AS term, df FROM dfs",
     "segmented_bm25": stem(GROWN, POSTINGS, asked(), bm25("asked", "b", 10)) + BM25_ROWS + "b",
     "segmented_bm25_filtered": stem(GROWN, POSTINGS, asked("'XX'"), bm25("asked", "b", 10)) + BM25_ROWS + "b",

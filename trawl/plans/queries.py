@@ -10,7 +10,7 @@ import dataclasses
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trawl.config import Settings
-from trawl.functions import text as tx
+from trawl.functions import automaton, text as tx
 from trawl.functions.vectors import HashedTokens, l2_norm
 from trawl.operators import chunking, grounding, judge, lexical, metrics
 from trawl.operators.dense import dense_top_k, mmr_select
@@ -88,32 +88,15 @@ def sentence_rewrites(spark, d) -> DataFrame:
 
 def containing(docs, items) -> DataFrame:
     """query_id, id of the documents whose text contains an item's."""
-    inner = F.slice(tx.tokens("text"), 2, F.greatest(F.size(tx.tokens("text")) - 2, F.lit(0)))
-    longest = F.aggregate(inner, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
-    items = items.select(F.col("item_id").alias("query_id"), "text", longest.alias("anchor"))
-    words = docs.select("id", F.explode_outer(F.array_distinct(tx.tokens("text"))).alias("anchor"))
-    pairs = words.join(items.filter("anchor != ''").select("query_id", "anchor"), "anchor")
-    short = items.filter("anchor = '' and text != ''").select("query_id", F.substring("text", 1, 3).alias("anchor"))
-    if not short.isEmpty():
-        at = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-        part = lambda n: F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(n)))
-        starts = [part(n) for n in (1, 2, 3)]
-        grams = docs.select("id", F.explode_outer(F.array_distinct(F.concat(*starts))).alias("anchor"))
-        pairs = pairs.unionByName(grams.join(short, "anchor").select(*pairs.columns))
-    found = pairs.select("query_id", "id").distinct().join(items.select("query_id", "text"), "query_id")
-    return (
-        found.join(docs.select("id", F.col("text").alias("body")), "id")
-        .filter(F.contains("body", "text")).select("query_id", "id").distinct()
-    )
+    questions = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return automaton.containing(docs, Questions.of(questions))
 
 
 def golden(spark, d):
     """(questions, key): documents that contain a question word for word.
 
-    Found by an equi-join on the question's longest inner token, which such a
-    document must hold, or for a question without inner tokens on its first characters;
-    ids alone are joined, and texts are then checked in full. Written down, as an answer
-    key is a table that every score reads.
+    Found in one scan of the texts with an automaton of the questions. Written down, as an
+    answer key is a table that every score reads.
     """
     items = table(spark, d, "benchmark")
     key = written(containing(corpus(spark, d), items), "key")
@@ -177,7 +160,7 @@ def document_previews(spark, d):
 @query
 def company_detection(spark, d):
     said = table(spark, d, "conversations")
-    named = tx.mentioned_companies(F.col("text"), COMPANIES)
+    named = automaton.named_companies(F.col("text"), COMPANIES)
     return said.select(
         "conv_id",
         "turn",
@@ -186,6 +169,15 @@ def company_detection(spark, d):
     )
 
 
+@query
+def many_companies(spark, d):
+    """Every longer word of the questions as a company's name; who says them."""
+    said = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("name")
+    names = [r["name"] for r in table(spark, d, "benchmark").select(said).distinct().collect()]  # a dictionary, held by every task
+    named = automaton.named_companies(F.col("text"), {name.upper(): (name,) for name in names})
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(named, ",").alias("companies"))
+
+
 @query
 def id_companies(spark, d):
     ids = table(spark, d, "documents").select(
@@ -598,6 +590,13 @@ def golden_answer_key(spark, d):
     return golden(spark, d)[1]
 
 
+@query
+def short_question_key(spark, d):
+    """The first nine characters of each question, down to the last document that holds them."""
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 9).alias("text"))
+    return containing(corpus(spark, d), items)
+
+
 def score_rows(scores):
     return scores.select(
         "query_id",

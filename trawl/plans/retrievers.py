@@ -10,7 +10,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trawl.functions.text import mentioned_companies, tokens
+from trawl.functions.automaton import named_companies
+from trawl.functions.text import tokens
 from trawl.operators.dense import dense_top_k, mmr_select
 from trawl.operators.fusion import fuse, join_lanes, rerank, round_robin
 from trawl.operators.questions import Questions
@@ -181,7 +182,7 @@ class CompanyDecomposition:
         self.base, self.companies = base, companies
 
     def subquestions(self, questions):
-        named = mentioned_companies(F.col("question"), self.companies)
+        named = named_companies(F.col("question"), self.companies)
         split = F.col("company").isNull() & (F.size("named") >= 2)
         one = F.array(F.lit(None).cast("string"))
         return (
@@ -220,7 +221,7 @@ class RewriteRetriever:
         joined = questions.df.join(counted, "question", "left")
         company = F.col("company")
         if self.companies:
-            named = mentioned_companies(F.col("rewrite"), self.companies)
+            named = named_companies(F.col("rewrite"), self.companies)
             company = F.coalesce(company, F.when(F.size(named) == 1, F.get(named, F.lit(0))))
         return joined.select(
             "query_id",

@@ -30,12 +30,13 @@ def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def clean_of_toxicity(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """Drops documents with a score of 0.5 or more; rows without id are scored too."""
+    """Drops documents with a score of 0.5 or more. The score is a text's own, so it is found again by the
+    text's digest: rows without id are judged too, and rows of one id each by their text."""
     model = toxicity_model(spark, sf_dir, docs)
-    scored = score_toxicity(docs.select("doc_id", "text"), model)
-    toxic = scored.filter("score >= 0.5")
-    toxic = per_id(toxic, "score")
-    return with_found(docs, toxic).filter("`score found` is null").select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    scored = score_toxicity(docs.select(digest.alias("doc_id"), "text"), model)
+    toxic = scored.filter("score >= 0.5").select(F.col("doc_id").alias("digest found")).distinct()
+    return docs.join(toxic, digest == F.col("digest found"), "left_anti").select(*docs.columns)
 
 
 def without_repeated_lines(spark, docs: DataFrame, sf_dir) -> DataFrame:
@@ -54,15 +55,22 @@ def without_near_duplicates(spark, docs: DataFrame, sf_dir) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """Every document as many times as the mix takes it, which may be none."""
+    """Every document as many times as the mix takes it, which may be none. A row without id is a document of
+    its own, by its text; rows that share an id are taken as often as the most taken of them."""
+    own = docs.columns
+    docs = docs.withColumn("doc_id found", F.col("doc_id"))
+    by_text = -1 - F.shiftrightunsigned(F.xxhash64("text"), 1)
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", by_text))
     taken = mix_sources(docs, quality_weights(spark, sf_dir))
     times = taken.filter("taken > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int"))
     chosen = per_id(times, "times").filter("`times found` > 0")
     joined = docs.join(chosen, F.col("doc_id") == F.col("id found"))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times found")))).select(*docs.columns)
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times found"))))
+    return joined.withColumn("doc_id", F.col("doc_id found")).select(*own)
 
 
 def packed(spark, docs: DataFrame, sf_dir) -> DataFrame:
+    """The pieces of all documents, copies too, with their places in sequences; rows without id are packed like others."""
     return packing.pack_sequences(docs.select("doc_id", "text"))
 
 

@@ -157,6 +157,20 @@ def test_line_runs_of_documents(documents, texts):
     assert found == lines_removed(texts, 50)
 
 
+@pytest.mark.parametrize("other", ["short", None, "", "new lines here\nthat are nowhere else\nat all"])
+def test_line_runs_where_an_id_repeats(spark, other):
+    """Each text is cut by its own lines, whatever else goes by its id."""
+    run = "\n".join(f"line {i} " + "word " * 20 for i in range(4))
+    long_text = "\n".join(f"own {i}" for i in range(10)) + "\n" + run
+    rows = [(1, run), (5, long_text), (5, other), (5, other)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as `cut`", "2 as `cut lines`", "3 as `cut id`")
+    got = sorted((r["doc_id"], r["text"] or "", r["lines_removed"]) for r in dedup_lines(docs).collect())
+    kept = "\n".join(f"own {i}" for i in range(10))
+    assert got == sorted([(1, run, 0), (5, kept, 4), (5, other or "", 0), (5, other or "", 0)])
+    twice = spark.createDataFrame([(1, run), (5, run), (5, "a\n" + run), (5, "b\nc\nd")], DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in dedup_lines(twice).collect()) == [(1, run), (5, ""), (5, "a"), (5, "b\nc\nd")]
+
+
 def test_line_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(None, passage), (1, passage), (2, "head\n" + passage.upper() + "\ntail"), (3, None), (3, ""), (4, "short")]

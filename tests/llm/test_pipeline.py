@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from helpers import WORD, joined_components, lines_removed
 
 import corpus_pipeline as cp
@@ -38,6 +40,20 @@ def test_stages(spark, small, documents):
         docs = done
 
 
+def test_rows_without_id_and_of_one_id(spark, small, monkeypatch):
+    row = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda made: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], row)
+    kept = cp.mixed(spark, make([(None, "three words here"), (1, "one two"), (None, "four more words here")]), small)
+    assert {r["text"] for r in kept.collect()} == {"three words here", "one two", "four more words here"}
+    assert {r["doc_id"] for r in kept.collect()} == {None, 1}
+    rude = F.contains("text", F.lit("rude")).cast("double").alias("score")
+    monkeypatch.setattr(cp, "toxicity_model", lambda *_: None)
+    monkeypatch.setattr(cp, "score_toxicity", lambda docs, _: docs.select("doc_id", rude))
+    docs = make([(None, "rude"), (None, "calm"), (7, "rude"), (7, "calm"), (8, "rude")])
+    left = [(r["doc_id"], r["text"]) for r in cp.clean_of_toxicity(spark, docs, small).collect()]
+    assert sorted(left, key=str) == [(7, "calm"), (None, "calm")]
+
+
 def test_odd_documents(spark, small):
     rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "x", None, "s", 1), (2, None, "en", "s", None), (2, None, "en", "s", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

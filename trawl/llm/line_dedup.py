@@ -71,9 +71,9 @@ def fingerprints(hashes, words, least):
 def fingerprint_rows(least):
     def rows(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in slices(batch.column(1)):
+            out = [[], [], [], [], [], []]
+            ids, bodies = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for row, data, offsets in slices(batch.column(2)):
                 for i in range(len(offsets) - 1):
                     text = data[offsets[i] : offsets[i + 1]]
                     starts, ends = lines_of(text)
@@ -83,15 +83,16 @@ def fingerprint_rows(least):
                         continue
                     found = fingerprints(span_hashes_of_lines(text, starts, ends), words, least)
                     out[0].append(np.full(len(found[0]), ids[row + i]))
-                    for values, part in zip(out[1:], found):
+                    out[1].append(np.full(len(found[0]), bodies[row + i]))
+                    for values, part in zip(out[2:], found):
                         values.append(part)
             if out[0]:
                 columns = [np.concatenate(v) for v in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int32)),
-                     pa.array(columns[2].astype(np.int32)), pa.array(columns[3].view(np.int64)),
-                     pa.array(columns[4].view(np.int64))],
-                    ["id", "first", "end", "fingerprint", "digest"],
+                    [pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)),
+                     pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32)),
+                     pa.array(columns[4].view(np.int64)), pa.array(columns[5].view(np.int64))],
+                    ["id", "body", "first", "end", "fingerprint", "digest"],
                 )
 
     return rows
@@ -103,25 +104,27 @@ def span_hashes_of_lines(data, starts, ends):
 
 
 def repeated_lines(docs: DataFrame, least_words=LEAST_WORDS, id_col="doc_id", text_col="text") -> DataFrame:
-    """id and the sorted ``firsts`` and ``ends`` of every stretch of lines to delete."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
+    """id, body (hash of the text) and ``cut``, the stretches of lines to delete, in order."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body"), text_col
+    )
     marks = written(
         rows.mapInArrow(
-            fingerprint_rows(least_words), "id long, first int, end int, fingerprint long, digest long"
+            fingerprint_rows(least_words), "id long, body long, first int, end int, fingerprint long, digest long"
         ),
         "fingerprints",
     )
     key = ["fingerprint", "digest"]
     origin = (
         marks.groupBy(*key)
-        .agg(F.min(F.struct("id", "first", "end")).alias("origin"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("id", "body", "first", "end")).alias("origin"), F.count("*").alias("n"))
         .filter("n > 1").drop("n")
     )
     later = marks.join(origin, key).filter(
-        "id > origin.id or (id = origin.id and first >= origin.end)"
+        "id > origin.id or (id = origin.id and (body > origin.body or (body = origin.body and first >= origin.end)))"
     )
     # first and end in one number: a text's stretches are a set of longs
-    return later.groupBy("id").agg(
+    return later.groupBy("id", "body").agg(
         F.array_sort(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32) + F.col("end"))).alias("cut")
     )
 
@@ -144,13 +147,18 @@ def dedup_lines(docs: DataFrame, least_words=LEAST_WORDS, id_col="doc_id", text_
     Adds ``lines_before`` and ``lines_removed`` (replacing columns of those names). A run has at least ``least_words`` words; the
     earliest occurrence, by id and line, stays whole, and one that overlaps it stays too. Lines are
     equal if their bytes are, A-Z taken as a-z. Null and empty texts stay as they are, as do
-    rows without id. Rows that repeat an id are taken for one document listed again: runs within the later
-    listing are not told from the first's. An empty table gives an empty result.
+    rows without id. Rows that repeat an id with other texts are documents of their own, in the order of the texts' hashes; those
+    that repeat id and text are one document listed again, and all of its listings are cut alike. Texts of any
+    length are read whole. An empty table gives an empty result.
     """
     docs = docs.drop("lines_before", "lines_removed")
     names = docs.columns
-    cuts = repeated_lines(docs, least_words, id_col, text_col).toDF("cut id", "cut lines")
-    joined = docs.join(cuts, F.col(id_col) == F.col("cut id"), "left").drop("cut id")
+    mark = "cut"
+    while any(mark in n for n in names):
+        mark += "_"
+    cuts = repeated_lines(docs, least_words, id_col, text_col).toDF(f"{mark}1", f"{mark}2", mark)
+    same = (F.col(id_col) == F.col(f"{mark}1")) & (F.xxhash64(text_col) == F.col(f"{mark}2"))
+    joined = docs.join(cuts, same, "left")
 
     def applied(batches):
         for batch in batches:
@@ -175,4 +183,4 @@ def dedup_lines(docs: DataFrame, least_words=LEAST_WORDS, id_col="doc_id", text_
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("lines_before", T.LongType()), T.StructField("lines_removed", T.LongType())]
     )
-    return joined.select(*[F.col(f"`{n}`") for n in names], "cut lines").mapInArrow(applied, schema)
+    return joined.select(*[F.col(f"`{n}`") for n in names], mark).mapInArrow(applied, schema)

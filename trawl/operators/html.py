@@ -1,6 +1,7 @@
 """Web page to text, and text to the item sections of an annual report."""
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -16,8 +17,12 @@ MARKUP = (
     r"""|</?[a-z!?](?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
     r"|</?[a-z!?][^>]*>"
 )
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-AMPERSANDS = ["amp", "#38", "#x26", "#X26"]
+# A text in pieces: references, with or without their semicolon, and what is between them.
+PIECES = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"
+CLOSED = {name[:-1]: said for name, said in html5.items() if name.endswith(";")}
+OPEN = {name: said for name, said in html5.items() if not name.endswith(";")}  # those that old pages leave open
+OPEN_SIZES = sorted({len(name) for name in OPEN}, reverse=True)
+WINDOWS = {str(c): bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}  # old pages number these by that code page
 
 # What opens an item section in the cleaned text.
 ITEM = r"(?:Item|ITEM)\s+(\d{1,2}[A-Za-z]?)\b\.?\s+"
@@ -25,41 +30,41 @@ ITEM_HEADER = rf"(?mdU)^\s*{ITEM}(?=[A-Z\[])"
 ITEM_SLICE = rf"(?mdUs)^\s*{ITEM}(?=[A-Z\[]).*?(?=^\s*{ITEM}[A-Z\[]|\z)"
 
 
-def _character(code):
-    """The character of a code point; U+FFFD for surrogates and beyond Unicode."""
-    code = F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(0xFFFD)).otherwise(code)
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _table(names):
+    """A map as one constant, whatever its size."""
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def _character(digits, base):
+    """The character of a code point in digits of ``base``; U+FFFD for none, for surrogates and beyond Unicode."""
+    digits = F.regexp_replace(digits, "^0+", "")
+    code = F.conv(digits, base, 10).cast("bigint") if base == 16 else digits.cast("bigint")
+    valid = (F.length(digits).between(1, 7)) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    old = F.element_at(_table(WINDOWS), code.cast("string"))
+    return F.when(~valid, F.lit("�")).when(code.between(0x80, 0x9F), F.coalesce(old, plain)).otherwise(plain)
+
+
+def _decoded(piece):
+    """What a piece says: a number's character, a name's, or of a name that runs on its longest start
+    that may stand open. Others stay as they are."""
+    said = F.regexp_replace(F.substring(piece, 2, 1 << 30), ";$", "")
+    ended = F.substring(piece, -1, 1) == ";"
+    rest = lambda size: F.substring(piece, size + 2, 1 << 30)
+    known = [F.when(ended, F.element_at(_table(CLOSED), said))]
+    known += [F.concat(F.element_at(_table(OPEN), F.substring(said, 1, n)), rest(n)) for n in OPEN_SIZES]
+    return (
+        F.when((F.substring(piece, 1, 1) != "&") | (F.length(piece) == 1), piece)
+        .when(F.lower(F.substring(said, 1, 2)) == "#x", _character(F.substring(said, 3, 1 << 30), 16))
+        .when(F.substring(said, 1, 1) == "#", _character(F.substring(said, 2, 1 << 30), 10))
+        .otherwise(F.coalesce(*known, piece))
+    )
 
 
 def decode_entities(text):
-    """Replace character references; an unknown one stays as it is.
-
-    Only references that occur are replaced, ampersands last, so text that
-    spells out a reference is not decoded twice.
-    """
-    named = F.create_map(
-        *[F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))]
-    )
-    found = F.array_except(
-        F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)),
-        F.array(*[F.lit(a) for a in AMPERSANDS]),
-    )
-
-    def replace(state, ref):
-        value = (
-            F.when(
-                F.lower(F.substring(ref, 1, 2)) == "#x",
-                _character(F.conv(F.substring(ref, 3, 6), 16, 10).cast("bigint")),
-            )
-            .when(F.substring(ref, 1, 1) == "#", _character(F.substring(ref, 2, 7).cast("bigint")))
-            .otherwise(F.element_at(named, ref))
-        )
-        whole = F.concat(F.lit("&"), ref, F.lit(";"))
-        return F.replace(state, whole, F.coalesce(value, whole))
-
-    decoded = F.aggregate(found, text, replace)
-    for a in AMPERSANDS:
-        decoded = F.replace(decoded, F.lit(f"&{a};"), F.lit("&"))
+    """Replace character references, each where it stands, so that text that spells one out is not decoded twice."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    decoded = F.array_join(F.transform(pieces, _decoded), "")
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 

@@ -746,6 +746,8 @@ FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 9))""",
     "segmented_bm25_filtered": stem(GROWN, POSTINGS, asked("'XX'"), bm25("asked", "b", 10)) + BM25_ROWS + "b",
     "stored_bm25_pruned": ORACLES["bm25_topk"],
     "stored_bm25_pruned_filtered": ORACLES["bm25_filtered"],
+    "page_text_entities": f"""SELECT page_id, CASE WHEN clean = '' THEN '' ELSE clean || chr(10) END
+  || 'été ¬it; A \U0001f600 – \ufffd &bogus; &lt; ©2024 ♥' AS clean FROM ({ORACLES["page_text"]})""",
     "stored_dense_topk": ORACLES["dense_topk"],
     "stored_hybrid_gated": ORACLES["hybrid_gated"],
     "replayed_batches": f"""WITH {DOCS} SELECT id, ticker, section,

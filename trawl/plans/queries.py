@@ -200,6 +200,14 @@ def page_text(spark, d):
     return pages.select("page_id", html_to_text(F.col("html")).alias("clean"))
 
 
+@query
+def page_text_entities(spark, d):
+    """Every page with a paragraph of references of all forms at its end."""
+    forms = "&eacute;t&eacute &notit; &#00000065; &#x1F600; &#150; &#xD800; &bogus; &amp;lt; &copy2024 &hearts;"
+    pages = spread(table(spark, d, "pages"), "page_id").withColumn("html", F.concat("html", F.lit(f"<p>{forms}</p>")))
+    return pages.select("page_id", html_to_text(F.col("html")).alias("clean"))
+
+
 def reports(spark, d) -> DataFrame:
     """Documents laid out as annual reports: contents, items, a back-reference."""
     body = F.col("text")

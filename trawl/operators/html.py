@@ -19,7 +19,8 @@ MARKUP = (
 )
 # A text in pieces: references, with or without their semicolon, and what is between them.
 PIECES = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"
-CLOSED = {name[:-1]: said for name, said in html5.items() if name.endswith(";")}
+# short names first: they are the usual ones, and a map is searched from its start
+CLOSED = {n[:-1]: html5[n] for n in sorted(html5, key=len) if n.endswith(";")}
 OPEN = {name: said for name, said in html5.items() if not name.endswith(";")}  # those that old pages leave open
 OPEN_SIZES = sorted({len(name) for name in OPEN}, reverse=True)
 WINDOWS = {str(c): bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}  # old pages number these by that code page

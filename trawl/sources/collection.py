@@ -147,10 +147,12 @@ class Collection:
         )
         return schema
 
-    def _keep(self, rows, kind, name):
+    def _keep(self, rows, kind, name, add_up=True):
         """Write a small table of the log and return (name, sum of its numbers)."""
         path = f"{self.path}/{kind}/{name}"
         rows.write.mode("overwrite").parquet(path)
+        if not add_up:
+            return name, None
         stored = self.spark.read.schema(COUNTS if kind == "counts" else MARKS).parquet(path)
         total = F.sum("chunks") if kind == "counts" else F.count("*")
         return name, stored.agg(F.coalesce(total, F.lit(0))).first()[0]
@@ -192,7 +194,7 @@ class Collection:
             if n:
                 marks[name] = n
                 less = self.marks([name]).groupBy("ticker").agg((-F.count("*")).alias("chunks"))
-                self._keep(less, "counts", name)
+                self._keep(less, "counts", name, add_up=False)
                 counts.append(name)
                 rows -= n
         if repeated is not None:
@@ -248,7 +250,7 @@ class Collection:
             marks = {name: n} if n else {}
         counts = self.spark.read.schema(COUNTS).parquet(*[f"{self.path}/counts/{c}" for c in state["counts"]])
         folded = counts.groupBy("ticker").agg(F.sum("chunks").alias("chunks")).filter("chunks != 0")
-        self._keep(folded, "counts", part)
+        self._keep(folded, "counts", part, add_up=False)
         while True:
             now = self.snapshot()
             if not set(chosen) <= set(now["parts"]):

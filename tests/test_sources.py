@@ -205,3 +205,14 @@ def test_upsert_keeps_one_row_per_id(spark, tmp_path):
     rows = [("B-1", "B", "s", "t2"), ("B-1", "B", "s", "t1"), ("B-2", "B", "s", "t3")]
     assert store.upsert(spark.createDataFrame(rows, "id string, ticker string, section string, text string")) == 2
     assert sorted(r["text"] for r in store.read().collect()) == ["t1", "t3"]
+
+
+def test_filings_of_one_line_and_of_many(spark, tmp_path):
+    filings = [{"ticker": "T", "cik": str(i), "sections": [{"section": "s", "text": "x"}]} for i in range(3)]
+    made = spark.createDataFrame([json.dumps(f) for f in filings], "string").select(F.from_json("value", readers.FILING_SCHEMA).alias("f")).select("f.*")
+    readers.write_filings(made.coalesce(1), str(tmp_path / "lines"))
+    assert {r["cik"] for r in readers.read_filings(spark, str(tmp_path / "lines")).collect()} == {"0", "1", "2"}
+    (tmp_path / "pretty").mkdir()
+    for i, f in enumerate(filings):
+        (tmp_path / "pretty" / f"{i}.json").write_text(json.dumps(f, indent=2))
+    assert {r["cik"] for r in readers.read_filings(spark, str(tmp_path / "pretty"), pretty=True).collect()} == {"0", "1", "2"}

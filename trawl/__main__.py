@@ -129,7 +129,7 @@ def ingest(ws):
 
 def chunk(ws):
     ticker = ws.args.ticker.upper()
-    filed = ws.spark.read.schema(readers.FILING_SCHEMA).json(ws.path("clean", ticker))
+    filed = readers.read_filings(ws.spark, ws.path("clean", ticker))
     chunks = chunking.chunk_filings(filed, ws.settings)
     readers.write_chunks(chunks, ws.path("chunks", f"ticker={ticker}"))
     made = written(chunks, "chunks")

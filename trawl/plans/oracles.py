@@ -753,3 +753,13 @@ FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 9))""",
     "replayed_batches": f"""WITH {DOCS} SELECT id, ticker, section,
   md5(CASE WHEN section = 'src3' THEN text || '?' ELSE text END) AS digest FROM docs""",
 }
+
+ORACLES |= {
+    "collection_peek": f"{stem(GROWN)} SELECT id, ticker, length(text) AS chars FROM docs ORDER BY id LIMIT 3",
+    "golden_file": f"""WITH {GOLDEN}
+SELECT qid AS query_id, question, qid % 3 <> 0 AS recall_reliable, coalesce(n, 0) AS n_relevant
+FROM golden LEFT JOIN (SELECT qid, count(*) AS n FROM key GROUP BY qid) USING (qid)""",
+    "sidecar_file": f"{JUDGED} SELECT qid AS query_id, id FROM completed",
+    "filing_files": f"""SELECT upper(lang) AS ticker, id, section, digest
+FROM ({ORACLES["item_sections"]}) JOIN documents ON doc_id = id""",
+}

@@ -1048,3 +1048,58 @@ def replayed_batches(spark, d):
     for rows, number in ((docs, 0), (later, 1), (docs, 0)):
         take_batch(store, rows, number, "stream")
     return store.read().select("id", "ticker", "section", F.md5("text").alias("digest"))
+
+
+# --- files of the stages ----------------------------------------------------------------
+
+
+@query
+def collection_peek(spark, d):
+    """A sample of the grown collection."""
+    sample = grown_collection(spark, d).peek(3)
+    return sample.select("id", "ticker", F.length("text").cast("bigint").alias("chars"))
+
+
+@query
+def golden_file(spark, d):
+    """A golden set as a file of JSON lines, read back with its defaults."""
+    path = scratch_path(spark, "golden")
+    items = table(spark, d, "benchmark")
+    key = containing(corpus(spark, d), items).groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("relevant_ids"))
+    lines = items.withColumnRenamed("item_id", "id").join(key.withColumnRenamed("query_id", "id"), "id", "left").select(
+        F.col("id").cast("int").alias("id"), F.col("text").alias("question"),
+        F.lit("found").alias("category"), F.coalesce("relevant_ids", F.array().cast("array<string>")).alias("relevant_ids"),
+        F.when(F.col("id") % 3 == 0, F.lit(False)).alias("recall_reliable"),
+    )
+    lines.write.json(path)
+    golden_set = readers.read_golden(spark, path)
+    keyed = metrics.golden_key(golden_set).groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    return metrics.golden_questions(golden_set).join(keyed, "query_id", "left").select(
+        F.col("query_id").cast("bigint").alias("query_id"), "question", "recall_reliable", F.coalesce("n_relevant", F.lit(0)).alias("n_relevant")
+    )
+
+
+@query
+def filing_files(spark, d):
+    """Reports cut into items, written as filings by ticker and read back."""
+    path = scratch_path(spark, "filings")
+    cut = target_sections(item_slices(F.col("clean")), SETTINGS.section_min_chars)
+    filed = reports(spark, d).select(
+        "ticker", F.col("id").cast("string").alias("accession_number"), cut.alias("sections")
+    )
+    readers.write_filings(filed, path)
+    read = readers.read_filings(spark, path).select("ticker", "accession_number", F.explode("sections").alias("s"))
+    return read.select(
+        "ticker", F.col("accession_number").cast("bigint").alias("id"), "s.section", F.md5("s.text").alias("digest")
+    )
+
+
+@query
+def sidecar_file(spark, d):
+    """Completed keys written as a sidecar and read back, a row for each id."""
+    path = scratch_path(spark, "sidecar")
+    completed, pool = completed_keys(spark, d)
+    readers.write_sidecar(judge.sidecar(completed, pool, golden(spark, d)[0]), path, "recorded", 20)
+    return readers.read_sidecar(spark, path).select(
+        F.col("query_id").cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id")
+    )

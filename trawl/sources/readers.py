@@ -36,8 +36,9 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLDEN_SCHEMA).json(path)
 
 
-def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FILING_SCHEMA).option("multiLine", True).json(path)
+def read_filings(spark: SparkSession, path: str, pretty=False) -> DataFrame:
+    """Filings a line each, as ``write_filings`` leaves them; ``pretty`` for files of one filing over many lines."""
+    return spark.read.schema(FILING_SCHEMA).option("multiLine", pretty).json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -171,6 +171,19 @@ def test_line_runs_where_an_id_repeats(spark, other):
     assert sorted((r["doc_id"], r["text"]) for r in dedup_lines(twice).collect()) == [(1, run), (5, ""), (5, "a"), (5, "b\nc\nd")]
 
 
+@pytest.mark.parametrize("salts", [1, 16])
+def test_line_runs_behind_a_common_line(spark, monkeypatch, salts):
+    """A run is found though an earlier, unlike text has each of its lines, among others."""
+    monkeypatch.setattr("trawl.llm.line_dedup.SALTS", salts)
+    runs = [[f"r{r} line {i} " + "word " * 20 for i in range(4)] for r in range(5)]
+    alone = [line + f"\nfiller {i} " + "other " * 60 for i, line in enumerate(sum(runs, []))]
+    texts = ["\n".join(alone), *["\n".join([f"head {i}", *run, f"tail {i}"]) for run in runs for i in range(3)]]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == lines_removed(rows, 50)
+    assert sum(t.count("\n") == 1 for t in found.values()) == 10
+
+
 def test_line_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(None, passage), (1, passage), (2, "head\n" + passage.upper() + "\ntail"), (3, None), (3, ""), (4, "short")]

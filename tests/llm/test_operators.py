@@ -189,7 +189,9 @@ def test_histogram_packing():
     for most in (1, 30):
         wanted = {a: n * most for a, n in counts.items()}
         got, sequences = Counter(), 0
-        for key, copies in packing.pack_histogram(wanted, rounds=20):
+        plan, placed = packing.pack_histogram(wanted)
+        assert placed >= 0.85 * sum(n for a, n in wanted.items() if a < 4096)  # by the program, not by best fit
+        for key, copies in plan:
             assert copies > 0 and sum(a * k for a, k in key) <= 4096
             sequences += copies
             for a, k in key:
@@ -197,6 +199,16 @@ def test_histogram_packing():
         assert got == wanted and sequences <= 1.01 * sum(a * n for a, n in wanted.items()) / 4096 + 1
 
 
+@pytest.mark.parametrize("counts", [{}, {1: 1}, {1000: 7}, {4096: 3}, {2049: 5, 3: 1}, {7: 10**12, 4000: 10**9}])
+def test_packing_of_few_lengths(counts):
+    plan, _ = packing.pack_histogram(counts)
+    got = Counter()
+    for key, copies in plan:
+        assert copies > 0 and sum(a * k for a, k in key) <= 4096
+        got.update({a: k * copies for a, k in key})
+    assert got == counts
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]

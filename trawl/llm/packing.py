@@ -1,12 +1,14 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 The lengths of all pieces make a histogram of at most ``capacity`` numbers, whatever
-the number of documents. A configuration is a multiset of lengths that fits one
+the number of documents. Near lengths form a class, so that demands are large enough to be rounded.
+A configuration is a multiset of classes whose mean lengths fit one
 sequence. Multiplicative weights solve the covering program over configurations:
-each round prices lengths by how far they lag behind, a knapsack over the capacity
-finds the configuration of highest price, and lengths that it covers lose weight.
-The mean of the rounds is rounded down to whole sequences; pieces left over go
-to the sequence they fit best. Ranks within a length, taken from distributed
+each round prices classes by how far they lag behind, a knapsack over the capacity
+finds the configuration of highest price, and classes that it covers lose weight.
+The mean of the rounds is rounded down to whole sequences. Each takes lengths of its
+classes that fill it but for ``SLACK`` tokens at most. The program is solved again for what is left as long
+as it places some; then pieces left over go to the sequence they fit best. Ranks within a length, taken from distributed
 counts, then lead every piece to its sequence and offset.
 """
 
@@ -22,6 +24,9 @@ from trawl.session import written
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 1_200_000
+CLASSES = 64  # of near lengths, at most
+UNIT = 8  # tokens to a step of the knapsack
+SLACK = 1  # tokens that a sequence of the program may leave empty
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -154,50 +159,44 @@ def tokenized(docs: DataFrame, path, end_id=1, capacity=4096, id_col="doc_id", t
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(pieces, PIECES)
 
 
-def best_configuration(prices, lengths, counts, capacity):
-    """The multiset of lengths of highest total price that fits, as {length: times}.
+def best_configuration(prices, sizes, counts, capacity):
+    """The multiset of classes of highest total price that fits, as {class: times}.
 
-    Dynamic program over the capacity; a length is used no oftener than it occurs.
+    Dynamic program over the capacity; a class is used no oftener than it has pieces.
     """
     best = np.zeros(capacity + 1)
-    taken = np.zeros(capacity + 1, dtype=np.int64)
-    lowest = int(lengths[0])
-    for room in range(lowest, capacity + 1):
-        n = int(np.searchsorted(lengths, room, "right"))
-        value = prices[:n] + best[room - lengths[:n]]
+    taken = np.full(capacity + 1, -1, dtype=np.int64)
+    for room in range(int(sizes[0]), capacity + 1):
+        n = int(np.searchsorted(sizes, room, "right"))
+        value = prices[:n] + best[room - sizes[:n]]
         at = int(np.argmax(value))
-        if value[at] > best[room - 1]:
-            best[room], taken[room] = value[at], lengths[at]
-        else:
-            best[room] = best[room - 1]
+        best[room] = max(value[at], best[room - 1])
+        taken[room] = at if value[at] > best[room - 1] else -1
     chosen, room = {}, capacity
     while room > 0:
-        if taken[room] == 0:
+        at = int(taken[room])
+        if at < 0:
             room -= 1
             continue
-        length = int(taken[room])
-        chosen[length] = chosen.get(length, 0) + 1
-        room -= length
-    return {a: min(k, counts[a]) for a, k in chosen.items()}
+        chosen[at] = chosen.get(at, 0) + 1
+        room -= int(sizes[at])
+    return {a: min(k, int(counts[a])) for a, k in chosen.items()}
 
 
-def configuration_program(counts, capacity, rounds=60, rate=0.5):
-    """Fractional numbers of sequences by configuration, from multiplicative weights.
+def configuration_program(sizes, demand, capacity, rounds, rate=0.5):
+    """Fractional numbers of sequences by configuration, from multiplicative weights, and the
+    share of its demand that each class gets.
 
-    ``counts`` maps length to pieces. Every round the configuration that pricing finds is
-    repeated as often as its scarcest length allows of a bounded share, and
-    the weights of the lengths it serves fall by how much of their demand it meets.
+    Every round the configuration that pricing finds is repeated as often as its scarcest class
+    allows, and the weights of the classes it serves fall by how much of their demand it meets.
     """
-    lengths = np.array(sorted(counts), dtype=np.int64)
-    demand = np.array([counts[a] for a in lengths.tolist()], dtype=np.float64)
-    position = {int(a): i for i, a in enumerate(lengths)}
-    used, met = {}, np.zeros(len(lengths))
+    used, met = {}, np.zeros(len(sizes))
     # a price begins as the share of a sequence, a little more for what is hard to place
-    weights = demand * lengths * (1 + 0.1 * lengths / capacity)
+    weights = demand * sizes * (1 + 0.1 * sizes / capacity)
     for _ in range(rounds):
-        chosen = best_configuration(weights / demand, lengths, counts, capacity)
-        at = np.array([position[a] for a in chosen])
-        times = np.array([chosen[a] for a in chosen], dtype=np.float64)
+        chosen = best_configuration(weights / demand, sizes, demand, capacity)
+        at = np.array(list(chosen))
+        times = np.array(list(chosen.values()), dtype=np.float64)
         width = float(np.min(demand[at] / times))  # copies that meet one demand in full
         met[at] += times * width / demand[at]
         weights[at] *= np.exp(-rate * times * width / demand[at])
@@ -207,25 +206,86 @@ def configuration_program(counts, capacity, rounds=60, rate=0.5):
     return used, met
 
 
-def pack_histogram(counts, capacity=4096, rounds=60):
-    """[(configuration, copies)] that holds exactly ``counts`` pieces of each length."""
-    counts = {int(a): int(n) for a, n in counts.items() if n}
-    packed, left = [], dict(counts)
-    if capacity in left:
-        packed = [(((capacity, 1),), left.pop(capacity))]
-    if not left:
-        return packed
-    used, met = configuration_program(left, capacity, rounds)
-    scale = 1.0 / float(np.max(met))  # no length is covered more than it occurs
-    for key, amount in sorted(used.items(), key=lambda x: (-sum(a * k for a, k in x[0]), x[0])):
-        copies = min([int(amount * scale), *(left.get(a, 0) // k for a, k in key)])
-        if copies > 0:
-            packed.append((key, copies))
-            for a, k in key:
-                left[a] -= copies * k
+def classes_of(left):
+    """Neighbouring lengths in classes of about equal numbers of tokens: arrays of lengths."""
+    lengths = np.array(sorted(left), dtype=np.int64)
+    tokens = np.array([a * left[a] for a in lengths.tolist()], dtype=np.float64)
+    most = max(1, min(CLASSES, int(sum(left.values()) ** 0.5)))
+    part = ((np.cumsum(tokens) - tokens / 2) * most / tokens.sum()).astype(np.int64)
+    return np.split(lengths, np.flatnonzero(part[1:] != part[:-1]) + 1)
+
+
+def filled(members, means, left, capacity):
+    """Lengths for one sequence, one of each class in ``members``: the first ones keep to the
+    classes' means, the last two fill what room there is best. None if they leave more than ``SLACK``."""
+    free = dict.fromkeys(a for m in members for a in m.tolist() if left.get(a))
+    free = {a: left[a] for a in free}
+    chosen, ahead = [], 0.0
+    for lengths, mean in zip(members[:-2], means):
+        lengths = [a for a in lengths.tolist() if free.get(a)]
+        if not lengths:
+            return None
+        a = min(lengths, key=lambda x: (abs(x - mean + ahead), x))
+        ahead += a - mean
+        free[a] -= 1
+        chosen.append(a)
+    room = capacity - sum(chosen)
+    last = [np.array([a for a in m.tolist() if free.get(a)], dtype=np.int64) for m in members[-2:]]
+    if not all(map(len, last)):
+        return None
+    if len(last) == 1:
+        last.append(np.zeros(1, dtype=np.int64))
+    sums = last[0][:, None] + last[1][None, :]
+    twice = (last[0][:, None] == last[1][None, :]) & (np.array([free.get(a, 0) for a in last[0].tolist()])[:, None] < 2)
+    sums = np.where(twice | (sums > room), -1, sums)
+    i, j = np.unravel_index(int(np.argmax(sums)), sums.shape)
+    if sums[i, j] < 0 or room - sums[i, j] > SLACK:
+        return None
+    return chosen + [int(last[0][i])] + [int(b) for b in [last[1][j]] if b]
+
+
+def program_part(left, capacity, rounds):
+    """[(configuration, copies)] that the program's rounded solution places; takes them from ``left``."""
+    classes = classes_of(left)
+    number = np.array([sum(left[a] for a in c.tolist()) for c in classes], dtype=np.float64)
+    mean = np.array([sum(a * left[a] for a in c.tolist()) for c in classes]) / number
+    sizes = np.maximum(1, np.round(mean / UNIT)).astype(np.int64)
+    used, met = configuration_program(sizes, number, capacity // UNIT, rounds)
+    scale = len(met) / float(met.sum())
+    packed = []
+    for key, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        members = [classes[c] for c, k in key for _ in range(k)]
+        means = [float(mean[c]) for c, k in key for _ in range(k)]
+        copies = int(amount * scale)
+        while copies:
+            chosen = filled(members, means, left, capacity)
+            if chosen is None:
+                break
+            times = {a: chosen.count(a) for a in chosen}
+            same = min([copies, *(left[a] // k for a, k in times.items())])
+            packed.append((tuple(sorted(times.items(), reverse=True)), same))
+            copies -= same
+            for a, k in times.items():
+                left[a] -= same * k
                 if not left[a]:
                     del left[a]
-    return packed + best_fit(left, capacity)
+    return packed
+
+
+def pack_histogram(counts, capacity=4096, rounds=60):
+    """[(configuration, copies)] that holds exactly ``counts`` pieces of each length, and how many pieces
+    the program placed, full sequences of one piece aside."""
+    left = {int(a): int(n) for a, n in counts.items() if n}
+    packed, placed = [], 0
+    if capacity in left:
+        packed.append((((capacity, 1),), left.pop(capacity)))
+    now = sum(left.values())
+    while left and 20 * now >= sum(left.values()):
+        part = program_part(left, capacity, rounds)
+        packed += part
+        now = sum(k * copies for key, copies in part for _, k in key)
+        placed += now
+    return packed + best_fit(left, capacity), placed
 
 
 def best_fit(left, capacity):
@@ -298,7 +358,7 @@ def pack_sequences(
         tokenized(docs, tokenizer or tokenizer_path(), end_id, capacity, id_col, text_col), "pieces"
     )
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = placement(pack_histogram(counts, capacity, rounds))
+    plan = placement(pack_histogram(counts, capacity, rounds)[0])
     stretches = max(1, -(-sum(counts.values()) // stretch_rows))
     dealt = pieces.withColumn(
         "stretch", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(stretches)).cast("int")

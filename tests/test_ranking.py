@@ -287,3 +287,26 @@ def test_round_robin_and_pool(spark):
     a = df.filter("list_no = 'A'")
     b = df.filter("list_no = 'B'")
     assert by_question(pool_union([b, a]), "pool_rank") == {1: ["x", "w", "y", "z"]}
+
+
+def test_scores_do_not_depend_on_stretches():
+    asks = lexical.Asks([[0, 2, 0], [], [1]], 3)
+    row, term, gain = np.array([0, 0, 1, 3, 3]), np.array([0, 1, 2, 1, 2]), np.array([1.0, 2.0, 4.0, 8.0, 16.0])
+    want = np.array([[2, 0, 2], [4, 0, 0], [0, 0, 0], [16, 0, 8]], dtype=float)
+    for cells in (1, 4, 100):
+        got, first = np.zeros((4, 3)), {}
+        for a, b, scores, ties in asks.scored(4, row, term, gain, cells):
+            got[a:b] = np.where(scores > 0, scores, 0)
+            r, q = np.nonzero(scores > 0)
+            first |= {(a + i, j): p for i, j, p in zip(r.tolist(), q.tolist(), ties(r, q).tolist())} if len(r) else {}
+        assert (got == want).all()
+        assert first == {(0, 0): 0, (0, 2): 0, (1, 0): 1, (3, 0): 1, (3, 2): 0}
+
+
+def test_gate_and_search_share_one_pass(corpus, batch):
+    index = LexicalIndex.from_text(corpus[1], S)
+    index.looks_lexical(batch)
+    held = index._lately[0]
+    some = Questions.of(batch.df.filter("query_id < 4"))
+    assert sorted(rows(index.search(some, 7))) == sorted(rows(LexicalIndex.from_text(corpus[1], S).search(some, 7)))
+    assert index._lately == [held]

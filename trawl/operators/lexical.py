@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from trawl.functions.text import informative_tokens, lexical_tokens, tokens
 from trawl.operators.questions import Questions
-from trawl.operators.ranking import Best, merge_top_k, slices, wrong_company
+from trawl.operators.ranking import Best, merge_top_k, wrong_company
+from trawl.session import written
 
 BLOCK = 1024
+KEPT = 8  # question blocks whose words in the corpus stay at hand
 
 
 def postings(docs: DataFrame, *carried) -> DataFrame:
@@ -63,6 +65,57 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return counted.withColumn("idf", idf(n, F.col("df")))
 
 
+class Asks:
+    """Which questions ask for a term, how often, and at which place first."""
+
+    def __init__(self, asked, terms):
+        self.questions, self.terms = len(asked), terms
+        places = np.full((len(asked), max([1, *map(len, asked)])), -1, dtype=np.int64)
+        for q, row in enumerate(asked):
+            places[q, : len(row)] = row
+        self.places = places
+        question, position = np.nonzero(places >= 0)
+        pair, times = np.unique(places[question, position] * max(1, len(asked)) + question, return_counts=True)
+        term, self.question = np.divmod(pair, max(1, len(asked)))
+        self.times = times.astype(float)
+        self.start = np.searchsorted(term, np.arange(terms + 1))
+
+    def scored(self, rows, row, term, gain, cells=2_000_000):
+        """Scores of stretches of rows as (first, last, matrix, ties); -inf where nothing matches.
+
+        One addition for each word of a row and question that asks for it. A stretch ends before
+        its matrix or its additions outgrow ``cells``.
+        """
+        width = self.start[term + 1] - self.start[term]
+        work = np.cumsum(np.bincount(row, weights=width, minlength=rows))
+        most = max(1, cells // max(1, self.questions))
+        first = 0
+        while first < rows:
+            before = work[first - 1] if first else 0
+            last = max(first + 1, min(first + most, rows, int(np.searchsorted(work, before + cells, "right"))))
+            part = slice(*np.searchsorted(row, [first, last]))
+            wide = width[part]
+            at = np.arange(wide.sum()) + np.repeat(self.start[term[part]] - np.cumsum(wide) + wide, wide)
+            cell = np.repeat((row[part] - first) * self.questions, wide) + self.question[at]
+            added = np.repeat(gain[part], wide) * self.times[at]
+            scores = np.bincount(cell, weights=added, minlength=(last - first) * self.questions).astype(float)
+            scores[scores <= 0] = -np.inf
+            held = (row[part] - first) * self.terms + term[part]
+            yield first, last, scores.reshape(last - first, self.questions), self.first_place(held)
+            first = last
+
+    def first_place(self, held):
+        """A function of rows and questions: the first place of a word that the row holds."""
+
+        def ties(row, question):
+            places = self.places[question]
+            key = np.where(places < 0, -1, row[:, None] * self.terms + places)
+            at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+            return np.argmax(held[at] == key, axis=1)
+
+        return ties
+
+
 class LexicalIndex:
     """BM25 over a corpus; idf and average length are always corpus-wide.
 
@@ -76,6 +129,7 @@ class LexicalIndex:
         self._n = None
         self._avgdl = None
         self._df = {}
+        self._lately = []
 
     @classmethod
     def from_text(cls, corpus: DataFrame, settings) -> "LexicalIndex":
@@ -83,59 +137,35 @@ class LexicalIndex:
         words = tokens(F.coalesce("text", F.lit(""))).alias("tokens")
         return cls(corpus.select("id", "ticker", words), settings)
 
-    def _learn(self, vocabulary):
-        """Count n, total length and df of unseen terms in one pass.
-
-        Each document adds a blank term that carries n and its length along.
-        The vocabulary of a question block bounds what is joined and returned.
-        """
-        unseen = sorted(set(vocabulary) - self._df.keys())
-        if self._n is not None and not unseen:
-            return
-        wanted = term_table(self.docs.sparkSession, ["", *unseen])
-        rows = (
-            self.docs.select(
-                F.size("tokens").alias("dl"),
-                F.explode_outer(
-                    F.concat(F.array_distinct("tokens"), F.array(F.lit("")))
-                ).alias("term"),
-            )
-            .join(wanted, "term")
-            .groupBy("term")
-            .agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
-            .collect()
-        )
-        found = {r["term"]: r for r in rows}
-        total = found.pop("", None)
-        self._n = total["df"] if total else 0
-        self._avgdl = total["length"] / total["df"] if total else 0.0
-        self._df.update({t: found[t]["df"] if t in found else 0 for t in unseen})
-
     @property
     def n(self):
-        self._learn(())
+        if self._n is None:
+            self._n = self.docs.count()
         return self._n
 
     def rare_ceiling(self):
         return max(1, round(self.settings.rare_fraction * self.n))
 
+    def term_frequencies(self, questions: Questions) -> DataFrame:
+        """term, df of the questions' words that the corpus holds."""
+        words = questions.df.select(F.explode(lexical_tokens(F.col("question"))).alias("term")).distinct()
+        found = [self._held(known)[0] for _, _, known in self._vocabularies(questions)]
+        if not found:
+            return words.withColumn("df", F.lit(0).cast("long"))
+        counts = found[0]
+        for more in found[1:]:
+            counts = counts.unionByName(more)
+        counts = counts.groupBy("hash").agg(F.max("df").alias("df"))
+        return words.withColumn("hash", F.xxhash64("term")).join(counts, "hash").select("term", "df")
+
     def document_frequencies(self, questions: Questions) -> DataFrame:
         """query_id, position, term, df of every informative question token."""
         terms = questions.df.select(
             "query_id", F.posexplode(informative_tokens(F.col("question"))).alias("position", "term")
         )
-        found = []
-        for block in questions.blocks({"terms": informative_tokens(F.col("question"))}, BLOCK):
-            words = {t for row in block["terms"].to_pylist() for t in row}
-            self._learn(words)
-            found += sorted(words)
-        found = sorted(set(found))
-        spark = questions.df.sparkSession
-        schema = pa.schema([("term", pa.string()), ("df", pa.int64())])
-        table = spark.createDataFrame(
-            pa.table({"term": found, "df": [self._df[t] for t in found]}, schema=schema)
-        )
-        return terms.join(table, "term", "left").select(
+        # of a stored table of terms only the asked ones go on to the outer join
+        found = self.term_frequencies(questions).join(terms.select("term").distinct(), "term", "left_semi")
+        return terms.join(found, "term", "left").select(
             "query_id", "position", "term", F.coalesce("df", F.lit(0)).alias("df")
         )
 
@@ -166,60 +196,59 @@ class LexicalIndex:
                 T.StructField("tie", T.IntegerType()),
             ]
         )
-        terms = lexical_tokens(F.col("question"))
-        blocks = questions.blocks({"terms": terms, "hashes": F.transform(terms, lambda t: F.xxhash64(t))}, BLOCK)
-        hits = questions.union([self._scan(block, k, schema) for block in blocks], schema)
+        blocks = self._vocabularies(questions)
+        hits = questions.union([self._scan(*block, k, schema) for block in blocks], schema)
         order = [F.desc("bm25_score"), F.asc("tie"), F.asc("id")]
         return merge_top_k(hits, k, order, "bm25_rank").select(
             "query_id", "bm25_rank", "id", "bm25_score"
         )
 
-    def _scan(self, block, k, schema):
+    def _vocabularies(self, questions):
+        """Blocks of questions with each one's words, and {word: hash} of the block."""
+        terms = lexical_tokens(F.col("question"))
+        for block in questions.blocks({"terms": terms, "hashes": F.transform(terms, lambda t: F.xxhash64(t))}, BLOCK):
+            asked, hashes = block["terms"].to_pylist(), block["hashes"].to_pylist()
+            known = dict(zip((t for row in asked for t in row), (h for row in hashes for h in row)))
+            if len(set(known.values())) < len(known):
+                raise ValueError("two terms of a question block have one hash; search them in two batches")
+            yield block, asked, known
+
+    def _scan(self, block, asked, known, k, schema):
         query_ids = np.array(block["query_id"].to_pylist(), dtype=object)
         companies = block["company"].to_pylist()
-        asked = block["terms"].to_pylist()
-        known = dict(zip((t for row in asked for t in row), (h for row in block["hashes"].to_pylist() for h in row)))
         vocabulary = sorted(known, key=known.get)
         hashes = np.array([known[t] for t in vocabulary], dtype=np.int64)
-        if len(set(known.values())) < len(known):
-            raise ValueError("two terms of a question block have one hash; search them in two batches")
-        self._learn(vocabulary)
-        number = {t: i for i, t in enumerate(vocabulary)}
-        asked = [[number[t] for t in row] for row in asked]
+        wanted = sorted({c for c in companies if c is not None})
+        only = wanted if companies and None not in companies else None
+        rows = self._holding(known, vocabulary, only)
         df = np.array([self._df[t] for t in vocabulary], dtype=float)
         weight = np.log(1 + (self._n - df + 0.5) / (df + 0.5))
         avgdl, k1, b = self._avgdl, self.settings.bm25_k1, self.settings.bm25_b
-        wanted = sorted({c for c in companies if c is not None})
-        only = wanted if companies and None not in companies else None
+        number = {t: i for i, t in enumerate(vocabulary)}
+        asks = Asks([[number[t] for t in row] for row in asked], len(vocabulary))
 
-        def score(pdf):
+        def gains(pdf):
+            """Row, term and gain of every word that a row holds, by row and term."""
             row = np.repeat(np.arange(len(pdf)), [len(h) for h in pdf["hashes"]])
-            term = np.searchsorted(hashes, np.concatenate([hashes[:0], *pdf["hashes"]]))
+            words = np.concatenate([hashes[:0], *pdf["hashes"]])
             times = np.concatenate([np.zeros(0), *pdf["tfs"]]) if "tfs" in pdf else np.ones(len(row))
-            cell, at = np.unique(term * len(pdf) + row, return_inverse=True)
+            asked_for = np.isin(words, hashes)
+            row, times, term = row[asked_for], times[asked_for], np.searchsorted(hashes, words[asked_for])
+            cell, at = np.unique(row * len(hashes) + term, return_inverse=True)
             tf = np.bincount(at, weights=times, minlength=len(cell))
-            term, row = np.divmod(cell, len(pdf))
+            row, term = np.divmod(cell, max(1, len(hashes)))
             length = pdf["dl"].to_numpy(dtype=float)[row] / avgdl
-            gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
-            edge = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-            scores = np.zeros((len(pdf), len(query_ids)), order="F")
-            first = np.full(scores.shape, -1, dtype=np.int32, order="F")
-            for q, terms in enumerate(asked):
-                for position in range(len(terms) - 1, -1, -1):
-                    run = slice(edge[terms[position]], edge[terms[position] + 1])
-                    scores[row[run], q] += gain[run]
-                    first[row[run], q] = position
-            scores[first < 0] = -np.inf
-            return scores, first
+            return row, term, weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
 
         def scan(batches):
             best = Best(len(query_ids), k)
-            for batch in batches:
-                for pdf in slices(batch, len(query_ids)):
-                    scores, first = score(pdf)
+            for pdf in batches:
+                ids = pdf["id"].to_numpy()
+                shut = wrong_company(pdf["ticker"], companies) if wanted else None
+                for first, last, scores, ties in asks.scored(len(pdf), *gains(pdf)):
                     if wanted:
-                        scores[wrong_company(pdf["ticker"], companies)] = -np.inf
-                    best.offer(pdf["id"].to_numpy(), scores, first)
+                        scores[shut[first:last]] = -np.inf
+                    best.offer(ids[first:last], scores, ties)
             hits = best.result()
             yield pd.DataFrame(
                 {
@@ -230,7 +259,38 @@ class LexicalIndex:
                 }
             )
 
-        return self._asked_terms(vocabulary, only).mapInPandas(scan, schema)
+        return rows.mapInPandas(scan, schema)
+
+    def _held(self, known):
+        """(hash and df, documents with their asked words), of these words or more.
+
+        The corpus is tokenised once for a block: what it holds of the block's words is written down as
+        hashes. The gate counts there, and a search for the same words, or some of them, reads it again. A
+        null hash for each document carries n and the length.
+        """
+        for held in self._lately:
+            if held[2] >= known.keys():
+                return held
+        rows = written(self._asked_terms(sorted(known), None), "asked-words")
+        null = F.array(F.lit(None).cast("long"))
+        counts = (
+            rows.select("dl", F.explode_outer(F.concat(F.array_distinct("hashes"), null)).alias("hash"))
+            .groupBy("hash")
+            .agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+        )
+        held = (written(counts, "asked-counts"), rows.filter(F.size("hashes") > 0), known.keys())
+        self._lately = [held, *self._lately[:KEPT - 1]]
+        return held
+
+    def _holding(self, known, vocabulary, tickers):
+        """Documents that hold an asked word, once n, average length and the words' frequencies are known."""
+        counts, rows, _ = self._held(known)
+        found = {r["hash"]: r for r in counts.collect()}  # at most as many as a block has words
+        total = found.pop(None, None)
+        self._n = total["df"] if total else 0
+        self._avgdl = total["length"] / total["df"] if total else 0.0
+        self._df = {t: found[h]["df"] if h in found else 0 for t, h in known.items()}
+        return rows.filter(F.col("ticker").isin(tickers)) if tickers else rows
 
     def _asked_terms(self, vocabulary, tickers):
         """id, ticker, dl and the hashes of a document's occurrences of the vocabulary.
@@ -305,9 +365,16 @@ class StoredIndex(LexicalIndex):
             found = dict(tuple(r) for r in self.terms.join(asked, "term").collect())
             self._df.update({t: found.get(t, 0) for t in unseen})
 
+    def term_frequencies(self, questions):
+        return self.terms
+
+    def _holding(self, known, vocabulary, tickers):
+        self._learn(vocabulary)
+        return self._asked_terms(vocabulary, tickers)
+
     def _asked_terms(self, vocabulary, tickers):
         """As above, with each term once and its count in ``tfs``."""
-        asked =term_table(self.docs.sparkSession, vocabulary)
+        asked = term_table(self.docs.sparkSession, vocabulary)
         asked = asked.withColumn("bucket", term_bucket(self.buckets))
         # at most as many rows as the index has buckets
         touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]

@@ -45,7 +45,8 @@ class Best:
         self.limit = max(spill_rows, 2 * questions * k)
 
     def offer(self, ids, scores, ties=None):
-        """Scores is (rows, questions); -inf means the row is no candidate."""
+        """Scores is (rows, questions); -inf means the row is no candidate. ``ties`` gives the ties of
+        hits at (rows, questions), and is asked for those that may stay only."""
         scores = np.round(scores, DIGITS)
         edge = self.floor
         if len(scores) > self.k:
@@ -54,7 +55,7 @@ class Best:
         row, question = np.nonzero((scores >= edge) & (scores > -np.inf))
         if not len(row):
             return
-        tie = ties[row, question] if ties is not None else 0
+        tie = ties(row, question) if ties is not None else 0
         self.held.append(
             pd.DataFrame(
                 {"q": question, "id": ids[row], "score": scores[row, question], "tie": tie}

@@ -15,6 +15,7 @@ from trawl.functions.text import tokens
 from trawl.operators.dense import dense_top_k, mmr_select
 from trawl.operators.fusion import fuse, join_lanes, rerank, round_robin
 from trawl.operators.questions import Questions
+from trawl.session import written
 from trawl.sources.collection import id_bucket
 
 
@@ -75,7 +76,7 @@ class HybridRetriever:
         pool = self.settings.pool
         if not self.gated:
             return self._fused(questions, self.base.retrieve(questions, pool), k)
-        gate = self.index.looks_lexical(questions)
+        gate = written(self.index.looks_lexical(questions), "gate")  # read three times below
         opaque = F.col("opaque")
         lexical = self._subset(questions, gate.filter(opaque))
         gate = questions.small(gate, 1)

@@ -173,6 +173,13 @@ class SegmentedIndex(LexicalIndex):
             found = dict(tuple(r) for r in self.frequencies().join(term_table(self.spark, unseen), "term").collect())
             self._df.update({t: found.get(t, 0) for t in unseen})
 
+    def term_frequencies(self, questions):
+        return self.frequencies()
+
+    def _holding(self, known, vocabulary, tickers):
+        self._learn(vocabulary)
+        return self._asked_terms(vocabulary, tickers)
+
     def _asked_terms(self, vocabulary, tickers):
         """id, ticker, dl, hashes, tfs: only the asked terms' buckets are read, less what is gone."""
         asked = term_table(self.spark, vocabulary).withColumn("bucket", term_bucket(self.buckets))

@@ -662,7 +662,7 @@ def eval_hybrid_means(spark, d):
 def eval_report(spark, d):
     scores = dense_scores(spark, d)
     lines = metrics.report_lines(scores, 10).select(F.col("query_id").cast("string").alias("label"), "line")
-    totals = metrics.summary_lines(metrics.aggregate(scores), 10)
+    totals = metrics.summary_lines(mean_rows(metrics.aggregate(scores)), 10)
     return lines.unionByName(
         totals.select(F.coalesce("category", F.lit("overall")).alias("label"), "line")
     )

@@ -310,3 +310,18 @@ def test_gate_and_search_share_one_pass(corpus, batch):
     some = Questions.of(batch.df.filter("query_id < 4"))
     assert sorted(rows(index.search(some, 7))) == sorted(rows(LexicalIndex.from_text(corpus[1], S).search(some, 7)))
     assert index._lately == [held]
+
+
+def test_texts_are_embedded_a_piece_at_a_time(spark):
+    from trawl.functions.vectors import PIECE, Embedder
+
+    class Counting(Embedder):
+        dim = 2
+
+        def encode(self, texts):
+            return np.array([[len(texts), len(t)] for t in texts])
+
+    df = spark.range(0, 3 * PIECE + 5, 1, 1).selectExpr("id", "if(id % 7 = 0, null, repeat('x', int(id % 9))) text")
+    got = df.select("id", "text", Counting().documents(F.col("text")).alias("e")).collect()
+    assert len(got) == 3 * PIECE + 5 and all(r["e"][1] == len(r["text"] or "") for r in got)
+    assert {r["e"][0] for r in got} == {PIECE, 5}

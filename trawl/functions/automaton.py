@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+PIECE = 256  # texts that are searched at a time
 QUESTION_BLOCK = 4096  # patterns of whole questions in one automaton
 
 
@@ -90,7 +91,7 @@ def containing(texts: DataFrame, questions) -> DataFrame:
 
         def search(batches):
             machine = automaton((text, i) for i, text in enumerate(asked) if text)
-            for batch in batches:
+            for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
                 row, query = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     hits = {v for _, _, values in found_in(machine, text or "") for v in values}

@@ -6,10 +6,11 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 VECTOR = T.ArrayType(T.FloatType())
+PIECE = 256  # texts that are embedded at a time
 
 
 def dot(a, b):
@@ -43,14 +44,21 @@ class Embedder(ABC):
         return self._udf()(F.concat(F.lit(self.query_prefix), text))
 
     def _udf(self):
-        encode = self.encode
+        encode, dim = self.encode, self.dim
 
-        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def vectors(batch):
+            """Of a piece of the batch at a time: only the batch itself, in Arrow's form, is as large as its texts."""
+            for start in range(0, len(batch), PIECE):
+                texts = [t or "" for t in batch.slice(start, PIECE).to_pylist()]
+                yield np.asarray(encode(texts), dtype=np.float32)
+
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                matrix = encode(batch.fillna("").tolist())
-                yield pd.Series(list(np.asarray(matrix, dtype=np.float32)))
+                matrix = np.concatenate([np.zeros((0, dim), np.float32), *vectors(batch)])
+                starts = np.arange(len(matrix) + 1, dtype=np.int32) * dim
+                yield pa.ListArray.from_arrays(starts, matrix.ravel())
 
-        return F.pandas_udf(embed, VECTOR)
+        return F.arrow_udf(embed, VECTOR)
 
 
 class HashedTokens(Embedder):

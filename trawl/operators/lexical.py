@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from trawl.functions.text import informative_tokens, lexical_tokens, tokens
 from trawl.operators.questions import Questions
-from trawl.operators.ranking import Best, merge_top_k, wrong_company
+from trawl.operators.ranking import Best, merge_top_k, slices, wrong_company
 from trawl.session import written
 
 BLOCK = 1024
+ROWS = 512  # documents whose words are worked out at a time
 KEPT = 8  # question blocks whose words in the corpus stay at hand
 
 
@@ -80,7 +81,7 @@ class Asks:
         self.times = times.astype(float)
         self.start = np.searchsorted(term, np.arange(terms + 1))
 
-    def scored(self, rows, row, term, gain, cells=2_000_000):
+    def scored(self, rows, row, term, gain, cells=250_000):
         """Scores of stretches of rows as (first, last, matrix, ties); -inf where nothing matches.
 
         One addition for each word of a row and question that asks for it. A stretch ends before
@@ -242,7 +243,7 @@ class LexicalIndex:
 
         def scan(batches):
             best = Best(len(query_ids), k)
-            for pdf in batches:
+            for pdf in (part for batch in batches for part in slices(batch, 1, ROWS)):
                 ids = pdf["id"].to_numpy()
                 shut = wrong_company(pdf["ticker"], companies) if wanted else None
                 for first, last, scores, ties in asks.scored(len(pdf), *gains(pdf)):

@@ -78,7 +78,7 @@ class Best:
         return hits
 
 
-def slices(pdf: pd.DataFrame, questions: int, cells: int = 2_000_000):
+def slices(pdf: pd.DataFrame, questions: int, cells: int = 250_000):
     """Cut a batch so that a (rows, questions) score matrix stays small."""
     step = max(1, cells // max(1, questions))
     for start in range(0, len(pdf), step):

@@ -27,3 +27,12 @@ def test_no_query_pairs_everything(spark, small, name):
 def test_filters_reach_the_scan(spark, small):
     plan = QUERIES["bm25_filtered"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "upper(lang" in plan and "question" not in plan.split("FileScan")[-1]
+
+
+def test_filings_are_cut_into_items_once(spark, small, monkeypatch):
+    written = []
+    monkeypatch.setattr("trawl.plans.queries.readers.write_filings", lambda filed, path: written.append(filed))
+    monkeypatch.setattr("trawl.plans.queries.readers.read_filings", lambda spark, path: written[0])
+    QUERIES["filing_files"](spark, small)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

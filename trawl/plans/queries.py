@@ -1083,8 +1083,8 @@ def golden_file(spark, d):
 def filing_files(spark, d):
     """Reports cut into items, written as filings by ticker and read back."""
     path = scratch_path(spark, "filings")
-    cut = target_sections(item_slices(F.col("clean")), SETTINGS.section_min_chars)
-    filed = reports(spark, d).select(
+    cut = target_sections(F.col("slices"), SETTINGS.section_min_chars)
+    filed = reports(spark, d).withColumn("slices", item_slices(F.col("clean"))).select(
         "ticker", F.col("id").cast("string").alias("accession_number"), cut.alias("sections")
     )
     readers.write_filings(filed, path)

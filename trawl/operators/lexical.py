@@ -291,7 +291,8 @@ class LexicalIndex:
         self._n = total["df"] if total else 0
         self._avgdl = total["length"] / total["df"] if total else 0.0
         self._df = {t: found[h]["df"] if h in found else 0 for t, h in known.items()}
-        return rows.filter(F.col("ticker").isin(tickers)) if tickers else rows
+        # companies alone: their documents are read again, through a filter that reaches the scan
+        return self._asked_terms(sorted(known), tickers) if tickers else rows
 
     def _asked_terms(self, vocabulary, tickers):
         """id, ticker, dl and the hashes of a document's occurrences of the vocabulary.

@@ -43,6 +43,39 @@ def postings(docs: DataFrame, *carried) -> DataFrame:
     )
 
 
+def bucketed(docs: DataFrame, buckets: int, *carried) -> DataFrame:
+    """One row per document and term bucket that it has words in: id, ticker, dl, lead, held (term, tf), bucket and the
+    ``carried`` columns. No shuffle.
+
+    ``lead`` marks one row of each document; a document without words has that row alone, with nothing held.
+    """
+    tok, starts, words, cuts = (F.col(c) for c in ("tok", "starts", "words", "cuts"))
+    place = F.transform("tokens", lambda t: F.struct(term_bucket(buckets, t).alias("bucket"), t.alias("term")))
+    run_start = F.transform(tok, lambda t, i: F.when((i == 0) | (F.get(tok, i - 1) != t), i))
+    word = F.transform(
+        starts,
+        lambda s, j: F.struct(
+            F.get(tok, s)["bucket"].alias("bucket"), F.get(tok, s)["term"].alias("term"),
+            (F.coalesce(F.get(starts, j + 1), F.size(tok)) - s).alias("tf"),
+        ),
+    )
+    cut = F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1)["bucket"] != w["bucket"]), i))
+    first = F.coalesce("at", F.lit(0))
+    end = F.coalesce(F.get(cuts, F.col("pos") + 1), F.size(words))
+    held = F.transform(F.slice(words, first + 1, end - first), lambda w: F.struct(w["term"].alias("term"), w["tf"].alias("tf")))
+    return (
+        docs.select("id", "ticker", *carried, F.sort_array(place).alias("tok"))
+        .withColumn("starts", F.array_compact(run_start))
+        .withColumn("words", word)
+        .withColumn("cuts", F.array_compact(cut))
+        .select("id", "ticker", *carried, F.size(tok).alias("dl"), "words", "cuts", F.posexplode_outer("cuts").alias("pos", "at"))
+        .select(
+            "id", "ticker", "dl", (F.coalesce("pos", F.lit(0)) == 0).alias("lead"), held.alias("held"), *carried,
+            F.coalesce(F.get(words, F.col("at"))["bucket"], F.lit(0)).alias("bucket"),
+        )
+    )
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n and avgdl. Documents without tokens count in both."""
     return docs.agg(
@@ -319,8 +352,8 @@ def term_table(spark, terms):
 TERM_BUCKETS = 64
 
 
-def term_bucket(buckets):
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+def term_bucket(buckets, term="term"):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:

@@ -1,7 +1,7 @@
 """An inverted index that follows a collection part by part.
 
 Every part of the collection has a segment: its postings and its documents' lengths, under the keys that rows keep
-for good. ``refresh`` indexes the text of rows that no segment holds, moves the postings of merged parts without
+for good. Postings lie as one row for each document and term bucket, with the terms that the document has there. ``refresh`` indexes the text of rows that no segment holds, moves the postings of merged parts without
 looking at text again, and takes out of the statistics what rows that are gone had put in. So n, lengths and
 document frequencies are always those of a rebuild, while the work grows with what changed.
 """
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from trawl.functions.text import tokens
-from trawl.operators.lexical import TERM_BUCKETS, LexicalIndex, postings, term_bucket, term_table
+from trawl.operators.lexical import TERM_BUCKETS, LexicalIndex, bucketed, term_bucket, term_table
 from trawl.operators.questions import BROADCAST_ROWS
 from trawl.sources.collection import KEY, Collection
 from trawl.sources.commits import CommitLog, Conflict
@@ -20,10 +20,21 @@ DOCS = "_origin string, _row long, dl int, run string, part string"
 GONE = "_origin string, _row long, part string"
 TERMS = "term string, df long"
 FOLD = 8  # sets of frequency changes that are added up into one
-POSTINGS = "id string, ticker string, dl int, term string, tf int, _origin string, _row long, run string, part string, bucket int"
+HELD = "held array<struct<term:string,tf:int>>"
+POSTINGS = f"id string, ticker string, dl int, lead boolean, {HELD}, _origin string, _row long, run string, part string, bucket int"
 EMPTY = {"version": 0, "collection": 0, "segments": {}, "postings": POSTINGS, "gone": {}, "terms": [], "n": 0, "length": 0}
 
 
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """Hint a broadcast of ``n`` rows where they are few."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def document_frequencies(held: DataFrame) -> DataFrame:
+    """term, n: in how many documents of ``held`` a term is."""
+    return held.select(F.explode_outer("held.term").alias("term")).filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("n"))
+
+
 class SegmentedIndex(LexicalIndex):
     """BM25 over ``collection``, stored under ``path``; searches see the version of the last refresh."""
 
@@ -35,6 +46,8 @@ class SegmentedIndex(LexicalIndex):
 
     def _load(self):
         self.state = self.log.latest() or EMPTY
+        if "held" not in self.state["postings"]:  # an older layout is built anew
+            self.state = {**EMPTY, "version": self.state["version"]}
         self.buckets = self.state.get("buckets", self.buckets)
         self._n, self._df = self.state["n"], {}
         self._avgdl = self.state["length"] / self._n if self._n else 0.0
@@ -99,29 +112,28 @@ class SegmentedIndex(LexicalIndex):
             moved = left_docs.select(*KEY).join(rows.select(*KEY, "part"), KEY)
             fresh = rows.join(left_docs.select(*KEY), KEY, "left_anti") if left else rows
             words = tokens(F.coalesce("text", F.lit(""))).alias("tokens")
-            fresh = fresh.select("id", "ticker", "part", *KEY, words)
-            made = postings(fresh, "part", *KEY)
-            sizes = fresh.select(*KEY, F.size("tokens").alias("dl"), "part")
+            made = bucketed(fresh.select("id", "ticker", "part", *KEY, words), self.buckets, "part", *KEY)
             if left:
-                old = self.postings(left).drop("run", "part", "bucket").join(moved, KEY)
-                made = made.unionByName(old)
-                sizes = sizes.unionByName(left_docs.join(moved, KEY).select(*sizes.columns))
-            made = made.withColumn("bucket", term_bucket(self.buckets))
+                made = made.unionByName(self.postings(left).drop("run", "part").join(moved, KEY))
             schema = ", ".join(
                 f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema if f.name not in ("part", "bucket")
             ) + ", run string, part string, bucket int"
             (
-                made.hint("rebalance", "part", "bucket").sortWithinPartitions("part", "bucket", "term")
+                made.hint("rebalance", "part", "bucket").sortWithinPartitions("part", "bucket")
                 .write.partitionBy("part", "bucket").parquet(f"{self.path}/postings/run={name}")
             )
+            self._folders(new, "postings")
+            # every document has one row that leads
+            sizes = self._segments("postings", schema, new).filter("lead").select(*KEY, "dl", "part")
             sizes.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/docs/run={name}")
-            self._folders(new)
+            self._folders(new, "docs")
         before = {**self.state, "postings": schema}
         added = self.lengths(new)
         lost = left_docs
         if new:
             lost = left_docs.join(added.select(*KEY), KEY, "left_anti")
-            added = added.join(self.lengths(left).select(*KEY), KEY, "left_anti")
+            if left:
+                added = added.join(self.lengths(left).select(*KEY), KEY, "left_anti")
         gone = already.filter(F.col("part").isin(list(kept)))
         if kept and now["marks"]:
             marked = self.collection.marks(now["marks"]).select(*KEY).join(self.lengths(kept), KEY)
@@ -133,12 +145,15 @@ class SegmentedIndex(LexicalIndex):
         plus, minus = added.agg(*sums).first(), lost.agg(*sums).first()
         self.state = before  # the postings' columns are known from here on
         if plus["n"]:
-            keys = added.select(*KEY)
-            deltas.append(self.postings(new).join(keys, KEY, "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+            come = self.postings(new)
+            if left:
+                come = come.join(few(added.select(*KEY), plus["n"]), KEY, "left_semi")
+            deltas.append(document_frequencies(come).select("term", F.col("n").alias("df")))
         if minus["n"]:
-            out = self.postings({**left, **kept}).join(already.select(*KEY), KEY, "left_anti")
-            out = out.join(lost.select(*KEY), KEY, "left_semi")
-            deltas.append(out.groupBy("term").agg((-F.count("*")).alias("df")))
+            out = self.postings({**left, **kept}).join(few(lost.select(*KEY), minus["n"]), KEY, "left_semi")
+            if self.state["gone"]:
+                out = out.join(few(already.select(*KEY), sum(self.state["gone"].values())), KEY, "left_anti")
+            deltas.append(document_frequencies(out).select("term", (-F.col("n")).alias("df")))
         terms = list(self.state["terms"])
         if deltas:
             change = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1]).groupBy("term").agg(F.sum("df").alias("df"))
@@ -154,11 +169,10 @@ class SegmentedIndex(LexicalIndex):
             "length": self.state["length"] + plus["length"] - minus["length"],
         }
 
-    def _folders(self, segments):
-        """A part without rows or words leaves no folder; give it an empty one."""
+    def _folders(self, segments, kind):
+        """A part without rows leaves no folder; give it an empty one."""
         for part, run in segments.items():
-            for kind in ("postings", "docs"):
-                self.log.make_folder(f"{self.path}/{kind}/run={run}/part={part}")
+            self.log.make_folder(f"{self.path}/{kind}/run={run}/part={part}")
 
     def _write(self, rows, kind, name):
         path = f"{self.path}/{kind}/{name}"
@@ -181,21 +195,23 @@ class SegmentedIndex(LexicalIndex):
         return self._asked_terms(vocabulary, tickers)
 
     def _asked_terms(self, vocabulary, tickers):
-        """id, ticker, dl, hashes, tfs: only the asked terms' buckets are read, less what is gone."""
-        asked = term_table(self.spark, vocabulary).withColumn("bucket", term_bucket(self.buckets))
+        """id, ticker, dl, hashes, tfs: only the asked terms' buckets are read, less what is gone.
+
+        What a document has in a bucket is cut down to the asked terms before it moves.
+        """
+        asked = term_table(self.spark, vocabulary).select(term_bucket(self.buckets).alias("bucket"))
         # at most as many rows as the index has buckets
-        touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+        touched = [r["bucket"] for r in asked.distinct().collect()]
         rows = self.docs.filter(F.col("bucket").isin(touched))
         if tickers:
             rows = rows.filter(F.col("ticker").isin(tickers))
-        rows = rows.join(asked, ["bucket", "term"])
         if self.state["gone"]:
-            gone = self.gone(self.state).select(*KEY)
-            small = sum(self.state["gone"].values()) <= BROADCAST_ROWS
-            rows = rows.join(F.broadcast(gone) if small else gone, KEY, "left_anti")
-        held = F.collect_list(F.struct(F.xxhash64("term").alias("hash"), "tf"))
+            rows = rows.join(few(self.gone(self.state).select(*KEY), sum(self.state["gone"].values())), KEY, "left_anti")
+        listed = ", ".join(f"'{t}'" for t in vocabulary) or "null"
+        found = F.expr(f"transform(filter(held, h -> h.term in ({listed})), h -> struct(xxhash64(h.term) as hash, h.tf as tf))")
         return (
-            rows.groupBy("id", "ticker", "dl")
-            .agg(held.alias("held"))
+            rows.select("id", "ticker", "dl", found.alias("held")).filter(F.size("held") > 0)
+            .groupBy("id", "ticker", "dl")
+            .agg(F.flatten(F.collect_list("held")).alias("held"))
             .select("id", "ticker", "dl", F.col("held.hash").alias("hashes"), F.col("held.tf").alias("tfs"))
         )

@@ -145,6 +145,21 @@ def test_few_postings_of_common_words_are_scored(spark):
     assert ImpactIndex(spark, path).share_scored(asked, 3) == pytest.approx(12 / 1203)
 
 
+def test_impact_index_in_small_pieces(spark, corpus, batch, monkeypatch):
+    """A document is one row however many words it has, blocks are cut where it is read, and questions go in blocks."""
+    for name, value in (("POSTINGS", 20), ("PAIRS", 5), ("ASKED_ROWS", 30), ("SHORT", 1)):
+        monkeypatch.setattr(impact, name, value)
+    docs, df = corpus
+    index = LexicalIndex.from_text(df, S)
+    path = scratch_path(spark, "impact")
+    write_impact_index(index.docs, path, S, buckets=3, block=4)
+    stored = ImpactIndex(spark, path)
+    assert stored.rows.count() == df.count()
+    held = [len(r["held"]) for r in stored.blocks.select("held").collect()]
+    assert sum(held) == lexical.postings(index.docs).count() and max(held) <= 4
+    assert sorted(rows(stored.search(batch, 7))) == sorted(rows(index.search(batch, 7)))
+
+
 def test_postings_count_terms(spark):
     docs = spark.createDataFrame([(1, "A", ["b", "a", "b"]), (2, "A", [])], "id int, ticker string, tokens array<string>")
     assert sorted(rows(lexical.postings(docs))) == [(1, "A", 3, "a", 1), (1, "A", 3, "b", 2)]

@@ -43,6 +43,20 @@ def postings(docs: DataFrame, *carried) -> DataFrame:
     )
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """One row per document: id, ticker, dl, held (term, tf), by term. No shuffle."""
+    tok, begin = F.col("tok"), F.col("begin")
+    run_start = F.transform(tok, lambda t, i: F.when((i == 0) | (F.get(tok, i - 1) != t), i))
+    held = F.transform(
+        begin, lambda s, j: F.struct(F.get(tok, s).alias("term"), (F.coalesce(F.get(begin, j + 1), F.size(tok)) - s).alias("tf"))
+    )
+    return (
+        docs.select("id", "ticker", F.sort_array("tokens").alias("tok"))
+        .withColumn("begin", F.array_compact(run_start))
+        .select("id", "ticker", F.size("tok").alias("dl"), held.alias("held"))
+    )
+
+
 def bucketed(docs: DataFrame, buckets: int, *carried) -> DataFrame:
     """One row per document and term bucket that it has words in: id, ticker, dl, lead, held (term, tf), bucket and the
     ``carried`` columns. No shuffle.

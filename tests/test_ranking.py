@@ -160,6 +160,23 @@ def test_impact_index_in_small_pieces(spark, corpus, batch, monkeypatch):
     assert sorted(rows(stored.search(batch, 7))) == sorted(rows(index.search(batch, 7)))
 
 
+def test_words_are_dealt_to_buckets_in_pieces(spark, monkeypatch):
+    """Pieces of one row or of many give the same; terms are where a search looks for them."""
+    monkeypatch.setattr(lexical, "PIECE", 2)
+    data = [(1, "A", ["b", "a", "b"], 7), (2, None, [], 8), (3, "B", ["c", "c"], 9), (4, "A", ["a", "d", "e"], 7)]
+    docs = spark.createDataFrame(data, "id int, ticker string, tokens array<string>, part int")
+    got = lexical.bucketed(docs, 3, "part").collect()
+    found = {(r["id"], r["ticker"], r["dl"], r["part"], t["term"], t["tf"]) for r in got for t in r["held"]}
+    assert found == {(i, k, len(w), p, t, w.count(t)) for i, k, w, p in data for t in w}
+    assert sorted(r["id"] for r in got if r["lead"]) == [1, 2, 3, 4]
+    assert [(r["dl"], r["bucket"], r["held"]) for r in got if r["id"] == 2] == [(0, 0, [])]
+    places = {t["term"]: r["bucket"] for r in got for t in r["held"]}
+    asked = lexical.term_table(spark, "abcde").select("term", lexical.word_bucket(3).alias("bucket"))
+    assert {r["term"]: r["bucket"] for r in asked.collect()} == places
+    held = {r["id"]: sorted(map(tuple, r["held"])) for r in lexical.counted(docs).collect()}
+    assert held == {i: sorted((t, w.count(t)) for t in set(w)) for i, _, w, _ in data}
+
+
 def test_postings_count_terms(spark):
     docs = spark.createDataFrame([(1, "A", ["b", "a", "b"]), (2, "A", [])], "id int, ticker string, tokens array<string>")
     assert sorted(rows(lexical.postings(docs))) == [(1, "A", 3, "a", 1), (1, "A", 3, "b", 2)]

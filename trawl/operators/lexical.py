@@ -1,8 +1,11 @@
 """Inverted index and Okapi BM25 over a corpus of (id, ticker, tokens)."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trawl.functions.text import informative_tokens, lexical_tokens, tokens
@@ -12,6 +15,7 @@ from trawl.session import written
 
 BLOCK = 1024
 ROWS = 512  # documents whose words are worked out at a time
+PIECE = 1_000_000  # words that a task counts at a time
 KEPT = 8  # question blocks whose words in the corpus stay at hand
 
 
@@ -43,51 +47,105 @@ def postings(docs: DataFrame, *carried) -> DataFrame:
     )
 
 
+def pieces(batch, column, most):
+    """The batch in stretches of rows whose lists in ``column`` hold about ``most`` entries together."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def unrolled(lists):
+    """(row of each entry, entries) of a column of lists."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lengths)), lengths), lists.flatten()
+
+
+def starts(*sorted_keys):
+    """Where a run of equal keys begins."""
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def word_counts(lists):
+    """(row, word, tf, words): how often a row's list has which of the distinct words, by row."""
+    row, words = unrolled(lists)
+    words = words.dictionary_encode()
+    many = max(1, len(words.dictionary))
+    cell, tf = np.unique(row * many + words.indices.to_numpy(), return_counts=True)
+    return *np.divmod(cell, many), tf, words.dictionary
+
+
+def held_lists(words, word, tf, edges):
+    """Lists of (term, tf) that begin and end at ``edges``."""
+    entries = [words.take(pa.array(word)), pa.array(tf.astype(np.int32))]
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays(entries, ["term", "tf"]))
+
+
+def lengths(lists):
+    return pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """One row per document: id, ticker, dl, held (term, tf), by term. No shuffle."""
-    tok, begin = F.col("tok"), F.col("begin")
-    run_start = F.transform(tok, lambda t, i: F.when((i == 0) | (F.get(tok, i - 1) != t), i))
-    held = F.transform(
-        begin, lambda s, j: F.struct(F.get(tok, s).alias("term"), (F.coalesce(F.get(begin, j + 1), F.size(tok)) - s).alias("tf"))
-    )
-    return (
-        docs.select("id", "ticker", F.sort_array("tokens").alias("tok"))
-        .withColumn("begin", F.array_compact(run_start))
-        .select("id", "ticker", F.size("tok").alias("dl"), held.alias("held"))
-    )
+    """One row per document: id, ticker, dl, held (term, tf). No shuffle."""
+
+    def rows(batches):
+        for piece in (p for batch in batches for p in pieces(batch, "tokens", PIECE)):
+            row, word, tf, words = word_counts(piece.column("tokens"))
+            held = held_lists(words, word, tf, np.searchsorted(row, np.arange(piece.num_rows + 1)))
+            columns = [piece.column("id"), piece.column("ticker"), lengths(piece.column("tokens")), held]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ticker", "dl", "held"])
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = f"id {types['id']}, ticker {types['ticker']}, dl int, held array<struct<term:string,tf:int>>"
+    return docs.select("id", "ticker", "tokens").mapInArrow(rows, schema)
+
+
+def word_bucket(buckets, term="term"):
+    """The bucket of a term in ``bucketed``, which finds it outside the JVM."""
+    return (F.crc32(term) % buckets).cast("int")
 
 
 def bucketed(docs: DataFrame, buckets: int, *carried) -> DataFrame:
-    """One row per document and term bucket that it has words in: id, ticker, dl, lead, held (term, tf), bucket and the
-    ``carried`` columns. No shuffle.
+    """One row per document and term bucket that it has words in: id, ticker, dl, lead, held (term, tf), the
+    ``carried`` columns and bucket. No shuffle.
 
     ``lead`` marks one row of each document; a document without words has that row alone, with nothing held.
     """
-    tok, starts, words, cuts = (F.col(c) for c in ("tok", "starts", "words", "cuts"))
-    place = F.transform("tokens", lambda t: F.struct(term_bucket(buckets, t).alias("bucket"), t.alias("term")))
-    run_start = F.transform(tok, lambda t, i: F.when((i == 0) | (F.get(tok, i - 1) != t), i))
-    word = F.transform(
-        starts,
-        lambda s, j: F.struct(
-            F.get(tok, s)["bucket"].alias("bucket"), F.get(tok, s)["term"].alias("term"),
-            (F.coalesce(F.get(starts, j + 1), F.size(tok)) - s).alias("tf"),
-        ),
-    )
-    cut = F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1)["bucket"] != w["bucket"]), i))
-    first = F.coalesce("at", F.lit(0))
-    end = F.coalesce(F.get(cuts, F.col("pos") + 1), F.size(words))
-    held = F.transform(F.slice(words, first + 1, end - first), lambda w: F.struct(w["term"].alias("term"), w["tf"].alias("tf")))
-    return (
-        docs.select("id", "ticker", *carried, F.sort_array(place).alias("tok"))
-        .withColumn("starts", F.array_compact(run_start))
-        .withColumn("words", word)
-        .withColumn("cuts", F.array_compact(cut))
-        .select("id", "ticker", *carried, F.size(tok).alias("dl"), "words", "cuts", F.posexplode_outer("cuts").alias("pos", "at"))
-        .select(
-            "id", "ticker", "dl", (F.coalesce("pos", F.lit(0)) == 0).alias("lead"), held.alias("held"), *carried,
-            F.coalesce(F.get(words, F.col("at"))["bucket"], F.lit(0)).alias("bucket"),
-        )
+
+    def rows(batches):
+        for piece in (p for batch in batches for p in pieces(batch, "tokens", PIECE)):
+            row, word, tf, words = word_counts(piece.column("tokens"))
+            dealt = np.array([zlib.crc32(t) % buckets for t in words.cast(pa.binary()).to_pylist()], dtype=np.int64)
+            key = row * buckets + dealt[word]
+            order = np.argsort(key, kind="stable")
+            first = starts(key[order])
+            own, bucket = np.divmod(key[order][first], buckets)
+            lead = np.zeros(len(own), dtype=bool)
+            lead[starts(own)] = True
+            empty = np.setdiff1d(np.arange(piece.num_rows), own)
+            edges = np.concatenate([first, np.full(len(empty) + 1, len(key))])
+            taken = pa.array(np.concatenate([own, empty]))
+            columns = {
+                "id": piece.column("id").take(taken), "ticker": piece.column("ticker").take(taken),
+                "dl": lengths(piece.column("tokens")).take(taken),
+                "lead": pa.array(np.concatenate([lead, np.ones(len(empty), dtype=bool)])),
+                "held": held_lists(words, word[order], tf[order], edges),
+                **{c: piece.column(c).take(taken) for c in carried},
+                "bucket": pa.array(np.concatenate([bucket, np.zeros(len(empty), dtype=np.int64)]).astype(np.int32)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(
+        [f"`{c}` {types[c]}" for c in ("id", "ticker")] + ["dl int, lead boolean, held array<struct<term:string,tf:int>>"]
+        + [f"`{c}` {types[c]}" for c in carried] + ["bucket int"]
     )
+    return docs.select("id", "ticker", "tokens", *carried).mapInArrow(rows, schema)
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

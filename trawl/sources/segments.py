@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from trawl.functions.text import tokens
-from trawl.operators.lexical import TERM_BUCKETS, LexicalIndex, bucketed, term_bucket, term_table
+from trawl.operators.lexical import TERM_BUCKETS, LexicalIndex, bucketed, term_table, word_bucket
 from trawl.operators.questions import BROADCAST_ROWS
 from trawl.sources.collection import KEY, Collection
 from trawl.sources.commits import CommitLog, Conflict
@@ -22,6 +22,7 @@ TERMS = "term string, df long"
 FOLD = 8  # sets of frequency changes that are added up into one
 HELD = "held array<struct<term:string,tf:int>>"
 POSTINGS = f"id string, ticker string, dl int, lead boolean, {HELD}, _origin string, _row long, run string, part string, bucket int"
+DEALT = "crc32"  # how terms are dealt to buckets
 EMPTY = {"version": 0, "collection": 0, "segments": {}, "postings": POSTINGS, "gone": {}, "terms": [], "n": 0, "length": 0}
 
 
@@ -46,7 +47,7 @@ class SegmentedIndex(LexicalIndex):
 
     def _load(self):
         self.state = self.log.latest() or EMPTY
-        if "held" not in self.state["postings"]:  # an older layout is built anew
+        if "held" not in self.state["postings"] or self.state.get("dealt") != DEALT:  # an older layout is built anew
             self.state = {**EMPTY, "version": self.state["version"]}
         self.buckets = self.state.get("buckets", self.buckets)
         self._n, self._df = self.state["n"], {}
@@ -164,7 +165,7 @@ class SegmentedIndex(LexicalIndex):
             terms.append(name)
         return {
             "collection": now["version"], "segments": {**kept, **new}, "postings": schema, "terms": terms,
-            "gone": {name: counted} if counted else {}, "buckets": self.buckets,
+            "gone": {name: counted} if counted else {}, "buckets": self.buckets, "dealt": DEALT,
             "n": self.state["n"] + plus["n"] - minus["n"],
             "length": self.state["length"] + plus["length"] - minus["length"],
         }
@@ -199,7 +200,7 @@ class SegmentedIndex(LexicalIndex):
 
         What a document has in a bucket is cut down to the asked terms before it moves.
         """
-        asked = term_table(self.spark, vocabulary).select(term_bucket(self.buckets).alias("bucket"))
+        asked = term_table(self.spark, vocabulary).select(word_bucket(self.buckets).alias("bucket"))
         # at most as many rows as the index has buckets
         touched = [r["bucket"] for r in asked.distinct().collect()]
         rows = self.docs.filter(F.col("bucket").isin(touched))

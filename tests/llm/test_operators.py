@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import WORD
 
-from trawl.llm import packing, secrets as sc, toxicity as tox
+from trawl.llm import packing, secrets as sc, topk, toxicity as tox
 from trawl.llm.components import components
 from trawl.llm.exact_dedup import exact_dedup
 from trawl.llm.mixing import mix_sources
@@ -276,6 +277,25 @@ def test_top_k_of_whole_texts(documents, texts, spark, shard_bytes):
         assert {d for s, d in got[q] if s > edge} == {d for s, d in hits if -s > edge}
 
 
+def test_top_k_leaves_out_blocks_that_cannot_reach_the_kth_score():
+    """Documents of two languages come mixed; only those of the query's are added up, though all share a term."""
+    texts = pa.array([f"{'the the cat' if i % 2 else 'der der hund'} x" for i in range(640)])
+    (_, data, offsets), = topk.slices(texts)
+    names, words = topk.term_hashes(*next(topk.slices(pa.array(["the cat x"])))[1:])[0], topk.term_hashes(data, offsets)[0]
+    vocabulary = np.unique(words)
+    shard = topk.Shard(vocabulary, np.ones(len(vocabulary)), 4.0)
+    shard.add(np.arange(640), data, offsets)
+    shard.close()
+    part = topk.Stretch(shard, shard.order, np.arange(len(vocabulary)))
+    asks = np.isin(vocabulary, names)[None].astype(np.float32)
+    none = np.zeros(0, dtype=np.int64)
+    seen = part.scores(asks, none, none, np.array([2.0]))[0]
+    assert sorted(shard.doc_ids[part.docs[np.flatnonzero(seen)]]) == list(range(1, 640, 2))
+    assert np.count_nonzero(part.scores(asks, none, none, np.array([0.0]))) == 640
+    exact = shard.exact(part.docs, np.isin(vocabulary, names))
+    assert np.allclose(exact[seen > 0], seen[seen > 0], rtol=1e-6)
+
+
 def test_top_k_odd_rows(odd):
     asked = odd.selectExpr("doc_id as query_id", "text")
     rows = [(r["query_id"], r["rank"], r["doc_id"]) for r in top_k(odd, asked).collect()]

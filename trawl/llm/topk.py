@@ -2,12 +2,15 @@
 
 Document frequencies, the number of documents and their mean length are counted over all
 documents first, so that every shard scores alike. Queries go out in blocks of bounded size, by their
-number and by that of their terms. A
-task takes its documents shard by shard, builds the shard's inverted index for the terms
-that the block asks for, with the best score of every block of postings, and keeps each query's k
-best. A query visits blocks of documents by falling upper bounds, the sum of its terms'
-block maxima, and stops at the first that cannot reach its k-th best, those of earlier shards
-of the task counted: no hit is lost. Shards' lists are merged in two levels.
+number and by that of their terms. One
+document in ``FIRST`` is searched first; the k best of these are known to all tasks that search the others. A
+task takes its documents shard by shard, brings like ones together in blocks, builds the
+inverted index for the terms that the block of queries asks for, and keeps each query's k best. For
+a group of queries the lists of rarer terms are added up first. Terms that many queries and documents
+have stand in a matrix for each block of documents; their block maxima and the best sum of the rarer ones bound what a
+block can reach, and blocks that cannot reach a query's k-th best, those of the first and of
+earlier documents of the task counted, are skipped. These sums are in single precision; what may be among the k best is added up again in double
+precision: no hit is lost. Shards' lists are merged in two levels.
 """
 
 import numpy as np
@@ -19,6 +22,13 @@ from trawl.session import written
 
 K1, B = 1.2, 0.75
 BLOCK = 64  # neighbouring documents that share an upper bound
+STRETCH = 128 * BLOCK  # documents scored at a time
+GROUP = 128  # queries scored at a time
+POSTINGS = 1 << 21  # postings added up at a time
+COMMON = 1 / 1000  # a term that this share of all pairs of a query and a document have goes into a matrix
+MATRIX_TERMS = 2048
+FIRST = 16  # one document in so many is searched first
+SLACK = 1e-3  # more than sums in single precision can be off, as a share
 SHARD_BYTES = 32 << 20
 BLOCK_QUERIES = 20_000
 BLOCK_TERMS = 4_000_000  # terms of all queries of a block
@@ -101,64 +111,94 @@ class Shard:
         at = np.searchsorted(self.vocabulary, terms[near])
         at[at == len(self.vocabulary)] = 0
         hit = self.vocabulary[at] == terms[near]
-        key = at[hit].astype(np.int64) << 32 | text[near[hit]]
+        key = text[near[hit]] << 32 | at[hit].astype(np.int64)
         key, times = np.unique(key, return_counts=True)
-        self.terms.append(key >> 32)
-        self.texts.append((key & 0xFFFFFFFF) + self.n)
-        self.times.append(times)
+        self.terms.append((key & 0xFFFFFFFF).astype(np.int32))
+        self.texts.append(((key >> 32) + self.n).astype(np.int32))
+        self.times.append(times.astype(np.int32))
         self.lengths.append(np.diff(bounds))
         self.ids.append(ids)
         self.n += len(ids)
         self.bytes += len(data)
 
     def close(self):
+        """Postings by document, and documents in an order that brings like ones together: by
+        the term that a document has most often, which parts languages, then by length."""
         term, doc, times = (np.concatenate(v) for v in (self.terms, self.texts, self.times))
-        length, self.doc_ids = np.concatenate(self.lengths), np.concatenate(self.ids)
-        order = np.argsort(term, kind="stable")  # documents stay in order within a term
-        term, self.docs, times = term[order], doc[order], times[order]
-        norm = K1 * (1 - B + B * length[self.docs] / self.mean)
-        self.scores = self.weights[term] * times * (K1 + 1) / (times + norm)
-        block = self.docs // BLOCK
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.block_at = np.flatnonzero(new)
-        self.block_end = np.append(self.block_at[1:], len(term))
-        self.block_of = block[self.block_at]
-        self.block_max = np.maximum.reduceat(self.scores, self.block_at) if len(term) else self.scores
-        self.term_blocks = np.searchsorted(term[self.block_at], np.arange(len(self.vocabulary) + 1))
-        self.blocks = -(-self.n // BLOCK)
+        length, ids = np.concatenate(self.lengths), np.concatenate(self.ids)
+        norm = K1 * (1 - B + B * length[doc] / self.mean)
+        self.post_terms, self.post_scores = term, self.weights[term] * times * (K1 + 1) / (times + norm)
+        self.post_at = np.searchsorted(doc, np.arange(self.n + 1))
+        most = np.zeros(self.n, dtype=np.int64)
+        some = np.flatnonzero(np.diff(self.post_at))
+        if len(some):
+            most[some] = np.maximum.reduceat(times.astype(np.int64) << 32 | term, self.post_at[some])
+        self.order = np.lexsort((length, most & 0xFFFFFFFF))
+        self.doc_ids = ids
+        self.terms = self.texts = self.times = self.lengths = self.ids = None
         return self
 
-    def search(self, terms, k, least=0.0):
-        """(scores, documents) of the k best of at least ``least``; all that tie with the last are seen."""
-        at = ranges(self.term_blocks[terms], self.term_blocks[terms + 1])
-        if not len(at):
-            return None
-        bound = np.bincount(self.block_of[at], self.block_max[at], self.blocks)
-        visit = np.argsort(-bound, kind="stable")
-        visit = visit[: np.count_nonzero(bound)]
-        turn = np.empty(self.blocks, dtype=np.int64)  # when a block is visited
-        turn[visit] = np.arange(len(visit))
-        of = turn[self.block_of[at]]
-        at = at[np.argsort(of, kind="stable")]  # a block's terms stay in order
-        first = np.append(0, np.cumsum(np.bincount(of, minlength=len(visit))))
-        docs, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(visit):
-            if len(scores) >= k:
-                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-            if bound[visit[done]] < least - 1e-8:
-                break
-            now = visit[done : done + step]
-            blocks = at[first[done] : first[done + len(now)]]
-            post = ranges(self.block_at[blocks], self.block_end[blocks])
-            own = turn[self.docs[post] // BLOCK] - done
-            place = own * BLOCK + self.docs[post] % BLOCK
-            summed = np.bincount(place, self.scores[post], len(now) * BLOCK)
-            hit = np.flatnonzero(summed)
-            docs = np.concatenate([docs, now[hit // BLOCK] * BLOCK + hit % BLOCK])
-            scores = np.concatenate([scores, summed[hit]])
-            done, step = done + step, step * 2
-        return scores, docs
+    def common(self, asked):
+        """Terms that so many pairs of a query and a document share that they are added up as a matrix."""
+        held = np.bincount(self.post_terms, minlength=len(asked)) * asked
+        terms = np.flatnonzero(held >= COMMON * self.n)
+        return terms[np.argsort(-held[terms], kind="stable")[:MATRIX_TERMS]]
+
+    def exact(self, docs, wanted):
+        """The scores of documents for the terms marked in ``wanted``, added up in the order of the terms."""
+        scores = np.zeros(len(docs))
+        sizes = self.post_at[docs + 1] - self.post_at[docs]
+        ends = np.cumsum(sizes)
+        i = 0
+        while i < len(docs):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + POSTINGS, "right")))
+            post = ranges(self.post_at[docs[i:j]], self.post_at[docs[i:j] + 1])
+            hit = np.flatnonzero(wanted[self.post_terms[post]])
+            own = np.searchsorted(np.cumsum(sizes[i:j]), hit, "right")
+            scores[i:j] = np.bincount(own, self.post_scores[post[hit]], j - i)
+            i = j
+        return scores
+
+
+class Stretch:
+    """Some documents of a shard in blocks: common terms as a matrix with their block maxima, postings of the rest."""
+
+    def __init__(self, shard, docs, number):
+        self.docs, self.blocks = docs, -(-len(docs) // BLOCK)
+        post = ranges(shard.post_at[docs], shard.post_at[docs + 1])
+        doc = np.repeat(np.arange(len(docs)), shard.post_at[docs + 1] - shard.post_at[docs])
+        term, scores = shard.post_terms[post], shard.post_scores[post].astype(np.float32)
+        column = number[term]
+        rare = column < 0
+        self.matrix = np.zeros((self.blocks, int(number.max(initial=-1)) + 1, BLOCK), dtype=np.float32)
+        self.matrix[doc[~rare] // BLOCK, column[~rare], doc[~rare] % BLOCK] = scores[~rare]
+        self.most = np.ascontiguousarray(self.matrix.max(axis=2).T)
+        order = np.argsort(term[rare], kind="stable")
+        self.rare_docs, self.rare_scores = doc[rare][order], scores[rare][order]
+        self.rare_at = np.append(0, np.cumsum(np.bincount(term[rare], minlength=len(number))))
+
+    def scores(self, asks, query, lists, least):
+        """Scores, but for rounding, of documents that can reach a query's ``least``; 0 for others.
+
+        ``asks`` marks each query's common terms, ``query`` and ``lists`` give its other ones. The latter are added up; with the common
+        terms' block maxima they bound a block. Blocks that cannot reach the query's least are left out.
+        """
+        n, width = len(asks), self.blocks * BLOCK
+        starts, ends = self.rare_at[lists], self.rare_at[lists + 1]
+        place = np.repeat(query * width, ends - starts)
+        post = ranges(starts, ends)
+        place += self.rare_docs[post]
+        found = np.bincount(place, self.rare_scores[post], n * width).astype(np.float32).reshape(n, self.blocks, BLOCK)
+        bound = found.max(axis=2) + asks @ self.most
+        visit = (bound > 0) & (bound >= least[:, None])
+        for b in range(self.blocks):
+            rows = np.flatnonzero(visit[:, b])
+            if len(rows) == n:
+                found[:, b] += asks @ self.matrix[b]
+            elif len(rows):
+                found[rows, b] += asks[rows] @ self.matrix[b]
+        found[~visit] = 0
+        return found.reshape(n, width)
 
 
 def best(scores, ids, k):
@@ -167,22 +207,53 @@ def best(scores, ids, k):
     return scores[order], ids[order]
 
 
-def search_shards(queries, terms, starts, vocabulary, weights, mean, k, shard_bytes):
+def search_shards(queries, terms, starts, vocabulary, weights, mean, k, shard_bytes, seeds):
     def rows(batches):
         held = {}  # query: its best so far in this task
+        least = seeds.min(axis=1)  # the k-th score so far
+        asked = np.bincount(terms, minlength=len(vocabulary)) / len(queries)
+        of = np.repeat(np.arange(len(queries)), np.diff(starts))
+        wanted = np.zeros(len(vocabulary), dtype=bool)
+
+        def take(shard, docs, q):
+            wanted[terms[starts[q] : starts[q + 1]]] = True
+            scores, ids = shard.exact(docs, wanted), shard.doc_ids[docs]
+            wanted[terms[starts[q] : starts[q + 1]]] = False
+            if q in held:
+                scores, ids = np.append(held[q][0], scores), np.append(held[q][1], ids)
+            held[q] = best(scores, ids, k)
+            known = np.append(seeds[q], held[q][0])
+            least[q] = np.partition(known, -k)[-k]
 
         def finish(shard):
             shard.close()
-            for q in range(len(queries)):
-                full = q in held and len(held[q][0]) == k
-                found = shard.search(terms[starts[q] : starts[q + 1]], k, held[q][0][-1] if full else 0.0)
-                if found is None:
-                    continue
-                scores, docs = found
-                ids = shard.doc_ids[docs]
-                if q in held:
-                    scores, ids = np.append(held[q][0], scores), np.append(held[q][1], ids)
-                held[q] = best(scores, ids, k)
+            common = shard.common(asked)
+            number = np.full(len(vocabulary), -1, dtype=np.int32)
+            number[common] = np.arange(len(common))
+            column = number[terms]
+            for first in range(0, shard.n, STRETCH):
+                part = Stretch(shard, shard.order[first : first + STRETCH], number)
+                size = np.where(column < 0, part.rare_at[terms + 1] - part.rare_at[terms], 0)
+                work = np.append(0, np.cumsum(size))[starts]
+                i = 0
+                while i < len(queries):
+                    j = int(np.searchsorted(work, work[i] + POSTINGS, "right")) - 1
+                    j = min(max(j, i + 1), i + GROUP, len(queries))
+                    own = slice(starts[i], starts[j])
+                    asks = np.zeros((j - i, len(common)), dtype=np.float32)
+                    dense = column[own] >= 0
+                    asks[of[own][dense] - i, column[own][dense]] = 1
+                    rare = size[own] > 0
+                    floor = least[i:j] * (1 - SLACK) - 1e-8
+                    found = part.scores(asks, of[own][rare] - i, terms[own][rare], floor)
+                    for r in np.flatnonzero(least[i:j] == 0):  # k are not known yet
+                        if found.shape[1] > k:
+                            floor[r] = np.partition(found[r], -k)[-k] * (1 - SLACK) - 1e-8
+                    row, at = np.nonzero((found > 0) & (found >= floor[:, None]))
+                    bounds = np.searchsorted(row, np.arange(j - i + 1))
+                    for r in np.flatnonzero(np.diff(bounds)):
+                        take(shard, part.docs[at[bounds[r] : bounds[r + 1]]], i + r)
+                    i = j
 
         shard = Shard(vocabulary, weights, mean)
         for batch in batches:
@@ -242,6 +313,15 @@ def top_k(
     size = chosen.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("terms")).first()
     blocks = max(1, -(-size["queries"] // block_queries), -(-size["terms"] // BLOCK_TERMS))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
+    draw = F.pmod(F.xxhash64(id_col), F.lit(FIRST))
+    some = texts.filter(draw == 0).repartition(max(1, 4 * n // (FIRST * STRETCH)))
+    others = texts.filter(draw != 0)
+
+    def merged(rows, *by):
+        return rows.groupBy(*by).agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
+        )
+
     found = None
     for i in range(blocks):
         block = chosen.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow().sort_by(
@@ -251,19 +331,23 @@ def top_k(
         vocabulary, first, place = np.unique(term, return_index=True, return_inverse=True)
         names, starts = np.unique(query, return_index=True)
         place = place.astype(np.int32)
-        part = texts.mapInArrow(
-            search_shards(names, place, np.append(starts, len(query)), vocabulary, idf[first], mean, k, shard_bytes),
-            "query long, hits array<struct<score: double, doc: long>>",
-        )
-        found = part if found is None else found.unionByName(part)
 
-    def merged(rows, *by):
-        return rows.groupBy(*by).agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
-        )
+        def searched(some, seeds):
+            return some.mapInArrow(
+                search_shards(names, place, np.append(starts, len(query)), vocabulary, idf[first], mean, k, shard_bytes, seeds),
+                "query long, hits array<struct<score: double, doc: long>>",
+            )
+
+        # the k best of a few documents are what all others have to reach
+        seeds = np.zeros((len(names), k))
+        ahead = written(merged(searched(some, seeds), "query"), "seeds")
+        known = ahead.select("query", F.posexplode("hits.score")).toArrow()
+        seeds[np.searchsorted(names, known.column(0).to_numpy()), known.column(1).to_numpy()] = -known.column(2).to_numpy()
+        part = ahead.unionByName(searched(others, seeds))
+        found = part if found is None else found.unionByName(part)
 
-    some = merged(found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))), "query", "part")
-    hits = merged(some, "query").select("query", F.posexplode("hits").alias("at", "hit"))
+    near = merged(found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))), "query", "part")
+    hits = merged(near, "query").select("query", F.posexplode("hits").alias("at", "hit"))
     return hits.select(
         F.col("query").alias("query_id"), (F.col("at") + 1).alias("rank"),
         F.col("hit.doc").alias("doc_id"), (-F.col("hit.score")).alias("score"),

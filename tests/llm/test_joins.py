@@ -88,6 +88,22 @@ def test_join_odd_rows(spark):
     assert nj.ngram_join(df.limit(0)).count() == 0
 
 
+def test_join_puts_out_bounded_pieces(monkeypatch):
+    """However many rows an Arrow batch has, what is made of it comes in pieces."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(texts)], ["id", "text"])
+    bands = nj.Bands(80, 100)
+    near = list(nj.near_signatures(5, bands)([batch]))
+    assert len(near) > 1 and set(np.concatenate([b.column(1).to_numpy() for b in near])) == set(range(1200))
+    monkeypatch.setattr(nj, "PIECE", 1000)
+    packed = list(nj.exact_signatures(5, bands)([batch]))
+    monkeypatch.setattr(nj.runs_of, "__defaults__", (1000,))
+    parts = list(nj.unpacked(packed))
+    assert len(parts) > len(packed) and max(b.num_rows for b in parts) <= 2000
+    sigs = [np.frombuffer(v.as_buffer(), np.int64) for b in packed for v in b.column(1)]
+    assert np.array_equal(np.concatenate([b.column(0).to_numpy() for b in parts]), np.concatenate(sigs))
+
+
 def small_pairs(seed, num, den, most=20):
     """Texts two by two: a set of 1 to ``most`` words and one as far from it as links allow."""
     rng = random.Random(seed)

@@ -32,6 +32,7 @@ from trawl.session import written
 
 LONG_LIST = 16  # members beyond which a list is not paired directly
 BAND_RATIO = 1.4
+PIECE = 1 << 18  # values that a task puts out at a time
 DRAWS = 1  # rounds that set members against a drawn one before all are paired
 
 
@@ -95,15 +96,26 @@ def element_signatures(shingles, band, count):
 
 
 def each_set(batches, n, text=1):
-    """(row in batch, shingles) of every text of every batch, and the batch."""
+    """Batches in pieces of about 2 MB of text, so that what is made of a piece is bounded
+    too, each with the (row in piece, shingles) of its texts."""
     for batch in batches:
-        def sets(column=batch.column(text)):
-            for row, data, offsets in slices(column):
-                words, bounds = word_hashes(data, offsets)
-                for i in range(len(bounds) - 1):
-                    yield row + i, shingle_hashes(words[bounds[i] : bounds[i + 1]], n)
+        for row, data, offsets in slices(batch.column(text)):
+            words, bounds = word_hashes(data, offsets)
+            sets = (
+                (i, shingle_hashes(words[bounds[i] : bounds[i + 1]], n)) for i in range(len(bounds) - 1)
+            )
+            yield batch.slice(row, len(offsets) - 1), sets
+
 
-        yield batch, sets()
+def runs_of(sizes, limit=PIECE):
+    """(first, last) of runs of rows of about ``limit`` values together; one larger row is a run."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield first, last
+        first = last
 
 
 def set_keys(n):
@@ -154,10 +166,11 @@ def unpacked(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         sigs = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch.column(1)]
         tags = [np.frombuffer(v.as_buffer(), dtype=np.int32) for v in batch.column(2)]
-        if sigs:
-            own = np.repeat(ids.astype(np.int64), [len(v) for v in sigs])
+        sizes = np.array([len(v) for v in sigs], dtype=np.int64)
+        for i, j in runs_of(sizes):
+            own = np.repeat(ids[i:j].astype(np.int64), sizes[i:j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs)), pa.array(own), pa.array(np.concatenate(tags))],
+                [pa.array(np.concatenate(sigs[i:j])), pa.array(own), pa.array(np.concatenate(tags[i:j]))],
                 ["sig", "id", "tag"],
             )
 
@@ -419,8 +432,9 @@ def differences(num, den):
     a, b = den - num, den + num
 
     def rows(batches):
+        names = ["hub", "id", "component", "n", "apart", "lone", "tied", "element"]
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out, held = [[] for _ in names], 0
             for hub, own, component, x, h in zip(*batch.columns):
                 x, h = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, h))
                 apart = np.setxor1d(x, h, assume_unique=True).view(np.int64)
@@ -436,11 +450,12 @@ def differences(num, den):
                 for o, v in zip(out, values):
                     o.append(np.full(m, v, dtype=np.int64))
                 out[7].append(apart)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(o)) for o in out],
-                    ["hub", "id", "component", "n", "apart", "lone", "tied", "element"],
-                )
+                held += m
+                if held >= PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
+                    out, held = [[] for _ in names], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
 
     return rows
 

@@ -296,6 +296,66 @@ def test_top_k_leaves_out_blocks_that_cannot_reach_the_kth_score():
     assert np.allclose(exact[seen > 0], seen[seen > 0], rtol=1e-6)
 
 
+def two_languages(rng, n):
+    """Texts of words of one of two languages, short and long ones, no two languages sharing more than a few words."""
+    words = [[f"{tag}{i}" for i in range(300)] + ["x", "y"] for tag in ("en", "de")]
+    odds = [1 / (1 + np.arange(302))] * 2
+    return [" ".join(rng.choice(words[i % 3 == 0], rng.integers(1, 120), p=odds[0] / odds[0].sum())) for i in range(n)]
+
+
+def searched(texts, asked, k, seeds=False):
+    """search_shards over one batch of texts, and for every query all scores added up plainly."""
+    (_, data, offsets), = topk.slices(pa.array(texts))
+    words, bounds = topk.term_hashes(data, offsets)
+    text, term, times = topk.counted_terms(words, bounds)
+    vocabulary, place = np.unique(term, return_inverse=True)
+    weights, length = 1 + np.arange(len(vocabulary)) % 7 / 3, np.diff(bounds)
+    part = weights[place] * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length[text] / length.mean()))
+    whole = np.zeros((len(texts), len(vocabulary)))
+    whole[text, place] = part
+    own = [place[text == q].astype(np.int32) for q in asked]
+    starts = np.append(0, np.cumsum([len(o) for o in own]))
+    order, centres = topk.arranged(np.concatenate(own), starts, len(vocabulary))
+    names, own = np.array(asked)[order], [own[i] for i in order]
+    starts = np.append(0, np.cumsum([len(o) for o in own]))
+    want = [sorted((-round(s, 9), d) for d, s in enumerate(whole[:, o].sum(axis=1).tolist()) if s > 0)[:k] for o in own]
+    seeds = np.repeat([[-w[-1][0] - 1e-3 if seeds and len(w) == k else 0.0] for w in want], k, axis=1)  # of other documents
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    rows = topk.search_shards(names, np.concatenate(own), starts, vocabulary, weights, length.mean(), k, 1 << 25, seeds, centres)
+    got = {q: [(round(h["score"], 8), h["doc"]) for h in hits] for r in rows([batch]) for q, hits in zip(*(c.to_pylist() for c in r.columns))}
+    return got, {q: [(round(s, 8), d) for s, d in w] for q, w in zip(names.tolist(), want)}
+
+
+@pytest.mark.parametrize("seeds", [False, True])
+def test_top_k_of_many_groups_and_stretches(monkeypatch, seeds):
+    """Queries and documents cut into small groups, stretches, blocks and slices give the hits of plain sums."""
+    for name, value in dict(BLOCK=16, STRETCH=64, GROUP=8, GROUPS=2, TIERS=(4, 16), ROW=2, ADDED=8, SLICE=1000, ROWS=50, COMMON=1 / 20).items():
+        monkeypatch.setattr(topk, name, value)
+    texts = two_languages(np.random.default_rng(3), 300)
+    got, want = searched(texts, list(range(0, 300, 5)), 5, seeds)
+    assert len(got) == 60 and got == want
+
+
+def test_top_k_matrices_hold_terms_of_like_queries_only(monkeypatch):
+    """Queries of two languages come mixed; no matrix multiplies the terms of both."""
+    texts = two_languages(np.random.default_rng(4), 400)
+    (_, data, offsets), = topk.slices(pa.array([" ".join(f"{tag}{i}" for i in range(300)) for tag in ("en", "de")]))
+    words, bounds = topk.term_hashes(data, offsets)
+    tags, held, hold = dict(zip(words.tolist(), np.repeat([1, 2], 300).tolist())), [], topk.Stretch.hold
+    (_, data, offsets), = topk.slices(pa.array(texts))
+    vocabulary = np.unique(topk.term_hashes(data, offsets)[0])
+
+    def seen(part, common):
+        held.append({tags.get(vocabulary[t], 0) for t in common.tolist()} - {0})
+        return hold(part, common)
+
+    monkeypatch.setattr(topk.Stretch, "hold", seen)
+    for name, value in dict(GROUP=8, GROUPS=1, CENTRES=2).items():
+        monkeypatch.setattr(topk, name, value)
+    searched(texts, list(range(100)), 5)
+    assert len(held) >= 12 and sum(len(h) > 1 for h in held) <= 1  # but for the group in which one language ends
+
+
 def test_top_k_odd_rows(odd):
     asked = odd.selectExpr("doc_id as query_id", "text")
     rows = [(r["query_id"], r["rank"], r["doc_id"]) for r in top_k(odd, asked).collect()]

@@ -32,7 +32,7 @@ POSTINGS = 1 << 21  # postings added up at a time
 COMMON = 1 / 200  # a term that this share of the pairs of a query and a document have that share the most common one goes into a matrix
 MATRIX_TERMS = 2048
 ROW, ADDED = 8, 1 << 13  # postings of other terms in a row, and rows added up at a time
-TIERS = (64, 256)  # terms of a matrix are bounded together from one of these to the next
+TIERS = (64, 256, 512)  # terms of a matrix are bounded together from one of these to the next
 MARKS, CENTRES = 512, 8  # terms and centres by which like texts are brought together
 FIRST = 16  # one document in so many is searched first
 SLACK = 1e-3  # more than sums of a matrix's terms in single precision can be off, as a share
@@ -230,19 +230,25 @@ class Stretch:
             own = rows[i : i + ADDED]
             at = np.take(self.row_docs, own, axis=0) + place[i : i + ADDED, None]
             np.add.at(found, at.reshape(-1), np.take(self.row_scores, own, axis=0).reshape(-1))
+        bound = np.maximum.reduceat(found, np.arange(0, n * width, BLOCK)).reshape(n, self.blocks)
         found = found.reshape(n, self.blocks, BLOCK)
-        bound = found
-        while bound.shape[2] > 8:
-            half = bound.shape[2] // 2
-            bound = np.maximum(bound[:, :, :half], bound[:, :, half:])
-        bound = bound.max(axis=2)
         for first, last, sums in self.tiers:
-            bound += np.minimum(asks[:, first:last] @ self.most[first:last], sums)
+            rest = np.minimum(asks[:, first:last] @ self.most[first:last], sums)
+            bound += rest
         visit = (bound > 0) & (bound >= least[:, None])
+        first = self.tiers[-1][0]
         for b in np.flatnonzero(visit.any(axis=0)):
             rows = np.flatnonzero(visit[:, b])
-            scores = (asks if len(rows) == n else asks[rows]) @ self.matrix[b]
+            own = asks if len(rows) == n else asks[rows]
+            scores = own[:, :first] @ self.matrix[b, :first]
             scores += found[:, b] if len(rows) == n else found[rows, b]
+            if first:  # the last tier only where it can help
+                near = np.flatnonzero(scores.max(axis=1) + rest[rows, b] >= least[rows])
+                if not len(near):
+                    continue
+                if len(near) < len(rows):
+                    rows, own, scores = rows[near], own[near], scores[near]
+            scores += own[:, first:] @ self.matrix[b, first:]
             yield b, rows, scores
 
     def scores(self, asks, query, lists, least):
@@ -343,18 +349,19 @@ def search_shards(queries, terms, starts, vocabulary, weights, mean, k, shard_by
             of = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
             at = starts[lo : hi + 1] - starts[lo]
             work = np.append(0, np.cumsum(lists))[at]
+            hit, rare = np.flatnonzero(column >= 0), np.flatnonzero(lists)
+            cell, hit_at = of[hit] * len(common) + column[hit], np.searchsorted(hit, at)
+            query, asked, rare_at = of[rare], asked[rare], np.searchsorted(rare, at)
             i = 0
             while i < hi - lo:
                 j = int(np.searchsorted(work, work[i] + POSTINGS, "right")) - 1
                 j = min(max(j, i + 1), i + GROUP, hi - lo)
-                own = slice(at[i], at[j])
                 asks = np.zeros((j - i, len(common)), dtype=np.float32)
-                hit = column[own] >= 0
-                asks[of[own][hit] - i, column[own][hit]] = 1
-                rare = lists[own] > 0
+                asks.reshape(-1)[cell[hit_at[i] : hit_at[j]] - i * len(common)] = 1
+                own = slice(rare_at[i], rare_at[j])
                 known = least[lo + i : lo + j]
                 floor = (known * (1 - slack[lo + i : lo + j]) - 1e-8).astype(np.float32)
-                some = asks, of[own][rare] - i, asked[own][rare], floor
+                some = asks, query[own] - i, asked[own], floor
                 if known.all():
                     rows, docs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
                     for b, r, scores in part.reaching(*some):
@@ -450,7 +457,7 @@ def top_k(
     blocks = max(1, -(-size["queries"] // block_queries), -(-size["terms"] // BLOCK_TERMS))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
     draw = F.pmod(F.xxhash64(id_col), F.lit(FIRST))
-    some = texts.filter(draw == 0).repartition(max(1, 4 * n // (FIRST * STRETCH)))
+    some = texts.filter(draw == 0).repartition(max(1, min(8, n // (4 * STRETCH)), n // (2 * FIRST * STRETCH)))
     others = texts.filter(draw != 0)
 
     def merged(rows, *by):
